@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup
+from .exact_dedup import op3_exact_dedup
 from .language import op9_language
 from .mixing import op1_mix
+from .packing import op4_packing
+from .quality import op8_quality
 from .sharding import op10_shard
+from .toxicity import op6_toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +23,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op9_language, op10_shard)}
+    return {f.__name__: f for f in (op1_mix, op3_exact_dedup, op4_packing, op6_toxicity, op8_quality, op9_language, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": exact_dedup.SQL}
