@@ -1,7 +1,8 @@
 """Operator 8: quality rules by tokeniser fertility.
 
 A public vocabulary that wasn't made from this corpus measures a text: characters per token, the share of tokens that
-are single bytes for want of a piece, and the entropy of the tokens. Bands per script say what is rejected.
+are single bytes for want of a piece, and the entropy of the tokens. Wide bands per script say what no text may exceed; within them
+the quartiles of the corpus, by language and length, say what is far from the texts of its kind.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 MODEL = "piece_bpe_32k.model"
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
@@ -37,6 +38,8 @@ SCRIPTS = {
 #: Per script: least and most characters per token, most byte fallback, least entropy as a share of what so many tokens can have.
 BANDS = {"latin": (1.3, 8.0, 0.2, 0.35), "greek": (0.5, 8.0, 0.6, 0.3), "cyrillic": (0.9, 8.0, 0.5, 0.3), "none": (0.8, 8.0, 0.5, 0.35)}
 OTHER_BAND = (0.2, 8.0, 1.0, 0.25)
+#: A text is far off beyond so many deviations (estimated from the quartiles) from the median of its language and length; a kind needs so many texts.
+FAR, LEAST_TEXTS = 3.5, 50
 
 
 class Pieces(dict):
@@ -110,28 +113,46 @@ def within(script: str, tokens: int, fertile: float, fallback: float, entropy: f
     return low <= fertile <= high and fallback <= most and entropy >= least * math.log2(max(2, min(tokens, 4096)))
 
 
-def rules(docs: DataFrame, *, path: str | None = None) -> DataFrame:
-    """Returns for each row of ``docs`` (doc_id, text): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and script, n_tokens, chars_per_token, byte_share, entropy.
+METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, in_band boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
 
-    A row is kept if the base rules and the bands of its script let it. A null or empty text has no words and fails the base
-    rules. Repeated rows and null ids stay, other columns are ignored, no rows give no rows. ``path``: a vocabulary file that every executor has.
-    """
-    path = path or public_tokenizers.path(MODEL)
 
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double")
+def measure(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` (doc_id, text, kind) without its text, with the columns of METRICS."""
+
+    @F.pandas_udf(METRICS)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(path)
         for texts in batches:
             rows = []
             for text in texts.where(texts.notna(), "").tolist():
                 words, base = base_rules(text)
-                failed = base[0] < 20 or 100 * base[4] > 30 * base[0]
                 own = fertility(words, base[1], pieces)
                 script = script_of(text)
-                rows.append((*base, failed, not failed and within(script, *own), script, *own))
-            yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "n_tokens", "chars_per_token", "byte_share", "entropy"])
+                rows.append((*base, base[0] < 20 or 100 * base[4] > 30 * base[0], within(script, *own), script, *own))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in METRICS.split(", ")])
+
+    return docs.select("doc_id", "kind", of("text").alias("__r")).select("doc_id", "kind", "__r.*")
 
-    return docs.select("doc_id", of("text").alias("__r")).select("doc_id", "__r.*")
+
+def rules(docs: DataFrame, *, path: str | None = None, lang_col: str | None = "lang", far: float = FAR) -> DataFrame:
+    """Returns for each row of ``docs`` (doc_id, text, perhaps lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and script, n_tokens, chars_per_token, byte_share, entropy.
+
+    A row is kept if the base rules, the bands of its script and those of its kind let it. A kind is a language (where that is null
+    or isn't known, the script) and a power of two of tokens; its bands come from all rows that pass the base rules, and with
+    fewer than LEAST_TEXTS of them it has none. A null or empty text has no words and fails the base rules. Repeated rows and null
+    ids stay, other columns are ignored, no rows give no rows. ``path``: a vocabulary file that every executor has.
+    """
+    kind = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
+    rows = measure(docs.select("doc_id", "text", kind.alias("kind")), path or public_tokenizers.path(MODEL))
+    rows = written(rows.withColumn("kind", F.coalesce("kind", F.concat(F.lit("*"), "script"))).withColumn("cls", F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))).cast("int")), "quality")
+    names = ("chars_per_token", "byte_share", "entropy")
+    bands = rows.filter(~F.col("base_failed") & F.col("in_band")).groupBy("kind", "cls").agg(F.count("*").alias("__n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"__{c}") for c in names])
+    bands = bands.filter(F.col("__n") >= LEAST_TEXTS).withColumnsRenamed({"kind": "__kind", "cls": "__cls"})
+    off = {c: (F.col(c) - F.col(f"__{c}")[1]) / F.greatest((F.col(f"__{c}")[2] - F.col(f"__{c}")[0]) / 1.349, F.lit(least)) for c, least in zip(names, (0.01, 0.01, 0.05), strict=True)}
+    usual = (F.abs(off["chars_per_token"]) <= far) & (off["byte_share"] <= far) & (off["entropy"] >= -far)
+    out = rows.join(bands, (F.col("kind") == F.col("__kind")) & (F.col("cls") == F.col("__cls")), "left")
+    kept = ~F.col("base_failed") & F.col("in_band") & F.coalesce(usual, F.lit(True))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "script", "n_tokens", *names)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 6: toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a logistic score over its words, and the document's score is the
+A document is a bag of sentences. Each sentence has a logistic score over the character n-grams of its words, and the document's score is the
 noisy-or of them: it is toxic unless every sentence is clean. Only documents are labelled; the gradient of the
 document's loss reaches the sentences in proportion to their part in it, so that the offending ones are found.
 """
@@ -22,34 +22,62 @@ from .common import fold, table
 SENTENCE = re.compile(r"[^.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled documents that are learned from, about: those with the smallest hashes of the text. Their longest texts are learned from in part.
-ROWS = 6000
+ROWS = 5000
 TRAIN_CHARS = 40_000
-#: Documents that a learned word is in at least, and how many words are learned at most.
-LEAST, WORDS = 5, 100_000
+#: Training texts that a learned feature is in at least.
+LEAST = 8
+GRAMS = (4, 5, 6, 7)
+#: Words whose weights a worker remembers.
+CACHE = 400_000
+
+
+def features(word: str) -> set[str]:
+    """A lower-case word with its ends, and the character n-grams of that, for words made from others."""
+    whole = f"^{word}$"
+    return {whole, *(whole[i : i + n] for n in GRAMS for i in range(len(whole) - n + 1))}
+
+
+class Weights(dict):
+    """A word's weight: the sum over its features."""
+
+    def __init__(self, learned: dict[str, float]) -> None:
+        self.learned = learned
+
+    def __missing__(self, word: str) -> float:
+        out = sum(self.learned.get(x, 0.0) for x in features(word))
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = out
+        return out
 
 
 @dataclass
 class ToxicityModel:
-    """weights: of lower-case words; a word that isn't there weighs nothing."""
+    """learned: weights of features; one that isn't there weighs nothing."""
 
-    weights: dict[str, float]
+    learned: dict[str, float]
     bias: float
 
+    def __post_init__(self) -> None:
+        self.words = Weights(self.learned)
+
+    def __reduce__(self):
+        return ToxicityModel, (self.learned, self.bias)
+
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, probability) of the sentences."""
-        get = self.weights.get
         out = []
         for m in SENTENCE.finditer(text or ""):
-            z = self.bias + sum(get(w, 0.0) for w in LETTERS.findall(m[0].lower()))
+            z = self.bias + sum(self.words[w] for w in LETTERS.findall(m[0].lower()))
             out.append((m.start(), m.end(), 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))))
         return out
 
     def score(self, text: str | None) -> float:
         """1 - prod(1 - p) over the sentences, 0 without any. Sentences without a known word differ in nothing, so they are counted."""
-        get, bias = self.weights.get, self.bias
+        get, bias = self.words.__getitem__, self.bias
         plain, total = 0, 0.0
         for s in SENTENCE.findall((text or "").lower()):
-            z = sum([get(w, 0.0) for w in LETTERS.findall(s)])
+            z = sum(map(get, LETTERS.findall(s)))
             if z:
                 z += bias
                 total += z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
@@ -58,42 +86,60 @@ class ToxicityModel:
         return 1 - math.exp(-total - plain * math.log1p(math.exp(bias)))
 
 
-def fit_bags(texts: list[str], labels: np.ndarray, *, rounds: int = 250, rate: float = 0.1, l2: float = 2e-4, least: int = LEAST) -> ToxicityModel:
-    """Adam on the mean log loss of the documents' noisy-or, over words of ``least`` documents or more."""
+def fit_bags(texts: list[str], labels: np.ndarray, *, rounds: int = 200, rate: float = 0.03, doubt: float = 1.0, least: int = LEAST) -> ToxicityModel:
+    """Adam on the mean log loss of the documents' noisy-or, with an L1 penalty of ``doubt`` documents.
+
+    The sentences are counts of words, and the words are sums of features, so that each round is two sparse products each way.
+    """
     if not len(labels) or labels.min() == labels.max():
         return ToxicityModel({}, -20.0 if not len(labels) or not labels[0] else 20.0)
-    seen: dict[str, int] = {}
-    bags = [[LETTERS.findall(s.lower()) for s in SENTENCE.findall(t[:TRAIN_CHARS])] for t in texts]
-    for bag in bags:
-        for w in {w for s in bag for w in s}:
-            seen[w] = seen.get(w, 0) + 1
-    words = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORDS] if n >= least]
-    index = {w: i for i, w in enumerate(words)}
+    index: dict[str, int] = {}
+    seen: list[int] = []
     sentence, word, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [index[w] for w in s if w in index]
+    for d, text in enumerate(texts):
+        own_words: set[int] = set()
+        for s in SENTENCE.findall(text[:TRAIN_CHARS].lower()):
+            own = [index.setdefault(w, len(index)) for w in LETTERS.findall(s)]
             word += own
             sentence += [len(doc)] * len(own)
             doc.append(d)
-    del bags
+            own_words.update(own)
+        seen += [0] * (len(index) - len(seen))
+        for w in own_words:
+            seen[w] += 1
     at, of, doc = np.array(sentence, np.int32), np.array(word, np.int32), np.array(doc, np.int32)
-    n = len(labels)
-    w, b = np.zeros(len(words)), -4.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    del sentence, word
+    names: dict[str, int] = {}
+    part, whole, in_docs = [], [], []
+    for w, k in index.items():
+        for x in features(w):
+            f = names.setdefault(x, len(names))
+            if f == len(in_docs):
+                in_docs.append(0)
+            in_docs[f] += seen[k]
+            part.append(f)
+            whole.append(k)
+    common = np.array(in_docs) >= least
+    part, whole = np.array(part, np.int32), np.array(whole, np.int32)
+    part, whole = part[common[part]], whole[common[part]]
+    n, size = len(labels), len(in_docs)
+    w, b = np.zeros(size), -5.0
+    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = b + np.bincount(at, weights=w[of], minlength=len(doc))
+        each = np.bincount(whole, weights=w[part], minlength=len(index))
+        z = b + np.bincount(at, weights=each[of], minlength=len(doc))
         total = np.bincount(doc, weights=np.logaddexp(0, z), minlength=n)
         by_doc = np.where(labels == 1, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) / n
         g = by_doc[doc] / (1 + np.exp(-np.clip(z, -60, 60)))
-        gw = np.bincount(of, weights=g[at], minlength=len(words)) + l2 * w / max(1, len(words)) + 1e-5 * np.sign(w)
+        gw = np.bincount(part, weights=np.bincount(of, weights=g[at], minlength=len(index))[whole], minlength=size)
+        gw = np.where(w != 0, gw + doubt / n * np.sign(w), np.sign(gw) * np.maximum(np.abs(gw) - doubt / n, 0))
         gb = float(g.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= rate * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
-    keep = np.abs(w) > 0.05
-    return ToxicityModel({words[i]: float(w[i]) for i in np.flatnonzero(keep)}, float(b))
+        step = rate / (1 + t / 100)
+        w -= step * (m / c1) / (np.sqrt(v / c2) + 1e-4 / n)
+        b -= step * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
+    return ToxicityModel({x: float(w[f]) for x, f in names.items() if abs(w[f]) > 0.02}, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS) -> ToxicityModel:
