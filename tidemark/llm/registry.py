@@ -10,9 +10,11 @@ from . import exact_dedup
 from .exact_dedup import op3_exact_dedup
 from .language import op9_language
 from .mixing import op1_mix
+from .ngram_join import op7_ngram_join
 from .packing import op4_packing
 from .quality import op8_quality
 from .sharding import op10_shard
+from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op6_toxicity
 
 
@@ -23,7 +25,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op3_exact_dedup, op4_packing, op6_toxicity, op8_quality, op9_language, op10_shard)}
+    return {f.__name__: f for f in (op1_mix, op3_exact_dedup, op4_packing, op5_suffix_dedup, op6_toxicity, op7_ngram_join, op8_quality, op9_language, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
