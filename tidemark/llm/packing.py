@@ -8,13 +8,17 @@ documents are best-fitted into what is left. Between epochs each island sends it
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,25 +34,49 @@ EPOCHS = 2
 POPULATION = 4
 CHILDREN = 10
 #: Words whose ids a worker remembers, and their longest.
-CACHE, CACHE_CHARS = 400_000, 64
+CACHE, CACHE_CHARS = 800_000, 64
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Characters whose lower case doesn't depend on others and that no normal form changes; white space but for the blank is left to the tokenizer.
+PLAIN = re.compile("[\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u024f]*")
+#: What this tokenizer's file calls its pre-tokenizer: fixed value.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level alphabet: a shown byte is its character, the others follow from 256 on.
+BYTE_CHARS = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(SHOWN))}
+
+
 class WordIds(dict):
     """A word's ids as little-endian bytes.
 
     This tokenizer drops white space and never joins what stands on its two sides, so a text's ids are those of its words, one
     after another. (The words are split at blanks, tabs and line feeds; any other white space stays in them, for the tokenizer.)
+    Words of plain characters are lowered and split here, and only their pieces go to the tokenizer's model; others go to it whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if not PLAIN.fullmatch(word) or "<|" in word:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        else:
+            pieces = PIECES.findall(word.lower())
+            if len(pieces) > 1:
+                return self.keep(word, b"".join(map(self.__getitem__, pieces)))
+            shown = "".join(pieces)
+            ids = [x.id for x in self.model.tokenize(shown if shown.isascii() else shown.encode().decode("latin-1").translate(BYTE_CHARS))]
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return self.keep(word, out.tobytes())
+
+    def keep(self, word: str, out: bytes) -> bytes:
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE:
                 self.clear()
@@ -56,8 +84,10 @@ class WordIds(dict):
         return out
 
     def of(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        text = (text or "").replace("\n", " ").replace("\t", " ")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 def token_pieces(docs: DataFrame, *, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
