@@ -1,0 +1,5 @@
+"""Scalar functions."""
+
+from .scalar import register
+
+__all__ = ["register"]
