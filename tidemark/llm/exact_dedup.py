@@ -81,6 +81,7 @@ def _different(docs: DataFrame, rows: DataFrame, moduli: tuple[int, ...]) -> Dat
     """The rows (doc_id, n_code, fingerprint) whose text isn't that of the first row of their fingerprint, after all."""
     groups = rows.groupBy(*FP).agg(F.sum("m").alias("__m"), _first().alias("__first")).filter("__m > 1")
     groups = groups.select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("__first.doc_id").alias("__keep"), (-F.col("__first.col1")).alias("__keep_n"))
+    groups = written(groups, "groups")  # a join of two plain shuffles, whose hot fingerprints Spark can split
     same_fp = F.lit(True)
     for c in FP:
         same_fp = same_fp & (F.col(c) == F.col(f"__{c}"))
@@ -126,7 +127,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS norm FROM documents
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g') AS norm FROM documents
 )
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
