@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -21,45 +23,52 @@ def _rows(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM {SPARK}").withColumn("num_dec", F.col("num_dec").cast("double"))
 
 
-def own(name: str, oracle: str, **columns) -> None:
-    """A query of helpers over the fixture; ``oracle`` is its select list after id."""
-    query(f"fn_{name}", f"SELECT id, {oracle} FROM {DUCK}")(lambda spark, sf_dir: _rows(spark).select("id", *[c.alias(n) for n, c in columns.items()]))
+def own(name: str, oracle: str, columns: Callable[[], dict[str, Column]]) -> None:
+    """A query of helpers over the fixture; ``oracle`` is its select list after id. Columns need a session, so they are made when the query is."""
+    query(f"fn_{name}", f"SELECT id, {oracle} FROM {DUCK}")(lambda spark, sf_dir: _rows(spark).select("id", *[c.alias(n) for n, c in columns().items()]))
 
 
 def both(name: str, spark_list: str, duck_list: str | None = None) -> None:
     sql(f"fn_{name}", f"SELECT id, {spark_list} FROM {SPARK}", f"SELECT id, {duck_list or spark_list} FROM {DUCK}")
 
 
-DAY, TIME = S.to_day("d1"), S.to_time("dt1")
+def day() -> Column:
+    return S.to_day("d1")
+
+
+def time() -> Column:
+    return S.to_time("dt1")
+
+
 for part, f in {"year": F.year, "month": F.month, "day": F.day, "dayofmonth": F.dayofmonth, "dayofyear": F.dayofyear, "quarter": F.quarter, "week": F.weekofyear}.items():
-    own(part, f"CAST({part}(CAST(d1 AS DATE)) AS BIGINT) AS x", x=f(DAY).cast("long"))
-own("dayofweek", "CAST(dayofweek(CAST(d1 AS DATE)) + 1 AS BIGINT) AS x", x=F.dayofweek(DAY).cast("long"))
+    own(part, f"CAST({part}(CAST(d1 AS DATE)) AS BIGINT) AS x", lambda f=f: dict(x=f(day()).cast("long")))
+own("dayofweek", "CAST(dayofweek(CAST(d1 AS DATE)) + 1 AS BIGINT) AS x", lambda: dict(x=F.dayofweek(day()).cast("long")))
 for part, f in {"hour": F.hour, "minute": F.minute, "second": F.second}.items():
-    own(part, f"CAST({part}(CAST(dt1 AS TIMESTAMP)) AS BIGINT) AS x", x=f(TIME).cast("long"))
-own("datediff", "CAST(datediff('day', CAST(d2 AS DATE), CAST(d1 AS DATE)) AS BIGINT) AS x", x=F.datediff(DAY, S.to_day("d2")).cast("long"))
-own("date_format", "strftime(CAST(dt1 AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS a, strftime(CAST(dt1 AS TIMESTAMP), '%d/%m/%y') AS b, strftime(CAST(dt1 AS TIMESTAMP), '%A %B %j') AS c", a=S.date_format(TIME, "%Y-%m-%d %H:%i:%s"), b=S.date_format(TIME, "%d/%m/%y"), c=S.date_format(TIME, "%W %M %j"))
-own("date_format_iso", "strftime(CAST(d1 AS DATE), '%G') || '-' || strftime(CAST(d1 AS DATE), '%V') AS a", a=S.date_format(DAY.cast("timestamp"), "%x-%v"))
-own("str_to_date", "CAST(try_strptime(d1, '%Y-%m-%d') AS DATE) AS a, CAST(NULL AS DATE) AS b", a=S.str_to_date("d1", "%Y-%m-%d"), b=S.str_to_date("s2", "%Y-%m-%d"))
-own("string_dates", "CAST(d1 AS DATE) AS a, CAST(d1 AS DATE) AS b, CAST(d1 AS DATE) AS c, CAST(NULL AS DATE) AS d", a=DAY, b=S.to_day(F.regexp_replace("d1", "-", "/")), c=S.to_day(F.regexp_replace("d1", "-", "")), d=S.to_day("s2"))
-own("from_unixtime", "strftime(make_timestamp(CAST(num2 + 1700000000 AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS x", x=S.from_unixtime((F.col("num2") + 1700000000).cast("long")))
-own("unix_timestamp", "CAST(epoch(CAST(dt1 AS TIMESTAMP)) AS BIGINT) AS x", x=S.unix_timestamp("dt1"))
-own("makedate", "CASE WHEN num2 >= 1 THEN CAST(make_date(2024, 1, 1) + (num2 - 1) AS DATE) END AS a, CAST(NULL AS DATE) AS b", a=S.makedate(F.lit(2024), F.col("num2")), b=S.makedate(F.lit(2023), F.lit(366)))
-own("maketime", "printf('%02d:%02d:%02d', 7, id, 5) AS x", x=S.maketime(F.lit(7), F.col("id"), F.lit(5)))
-own("last_day", "CAST(last_day(CAST(d1 AS DATE)) AS DATE) AS x", x=F.last_day(DAY))
-own("date_add", "CAST(CAST(d1 AS DATE) + num2 AS DATE) AS a, CAST(CAST(d1 AS DATE) - num2 AS DATE) AS b", a=F.date_add(DAY, F.col("num2")), b=F.date_sub(DAY, F.col("num2")))
-own("date_trunc", "CAST(date_trunc('year', CAST(d1 AS DATE)) AS DATE) AS y, CAST(date_trunc('month', CAST(d1 AS DATE)) AS DATE) AS m, CAST(d1 AS DATE) AS d", y=S.date_trunc("year", DAY), m=S.date_trunc("month", DAY), d=S.date_trunc("hour", DAY))
-own("days_add", "CAST(CAST(d1 AS DATE) + num2 AS DATE) AS x", x=F.date_add(DAY, F.col("num2")))
-own("months_add", "CAST(CAST(d1 AS DATE) + to_months(num2) AS DATE) AS x", x=S.months_add(DAY, F.col("num2")))
-own("hours_add", "CAST(dt1 AS TIMESTAMP) + to_hours(num2) AS x", x=S.hours_add(TIME, F.col("num2")))
-own("concat_ws", "concat_ws('-', s1, s2, s_trim) AS x", x=F.concat_ws("-", "s1", "s2", "s_trim"))
-own("substring_index", "CASE WHEN s1 IS NULL THEN NULL ELSE list_aggregate(split(s1, 'l')[1:2], 'string_agg', 'l') END AS a, CASE WHEN s1 IS NULL THEN NULL ELSE split(s1, 'l')[-1] END AS b", a=F.substring_index("s1", "l", 2), b=F.substring_index("s1", "l", -1))
-own("substring", "substring(s1, 2, 3) AS a, substring(s1, 1, 2) AS zero, CASE WHEN length(s1) >= 3 THEN right(s1, 3) ELSE s1 END AS neg, substring(s1, 1, 4) AS clamped, CASE WHEN s1 IS NOT NULL THEN '' END AS none", a=S.substring("s1", F.lit(2), F.lit(3)), zero=S.substring("s1", F.lit(0), F.lit(2)), neg=S.substring("s1", F.lit(-3)), clamped=S.substring("s1", F.lit(-100), F.lit(4)), none=S.substring("s1", F.lit(2), F.lit(-1)))
-own("hex", "upper(to_hex(num1)) AS i, hex(s1) AS s", i=F.hex("num1"), s=F.hex("s1"))
-own("unhex", "s1 AS back, CAST(NULL AS VARCHAR) AS odd, CAST(NULL AS VARCHAR) AS bad", back=S.unhex(F.hex("s1")), odd=S.unhex(F.lit("ABC")), bad=S.unhex(F.lit("zz")))
-own("truncate", "CAST(trunc(CAST(num_dec AS DOUBLE) * 100) / 100 AS DOUBLE) AS a, CAST(trunc(CAST(num_dec AS DOUBLE) / 10) * 10 AS DOUBLE) AS b", a=S.truncate("num_dec", 2), b=S.truncate("num_dec", -1))
-own("if", "CASE WHEN num1 > 50 THEN 'big' WHEN num1 <= 50 THEN 'small' END AS a, CASE WHEN num1 > 50 THEN 'big' ELSE 'small' END AS b", a=S.if_(F.col("num1") > 50, F.lit("big"), F.lit("small")), b=S.if_mysql(F.col("num1") > 50, F.lit("big"), F.lit("small")))
-own("ifnull", "coalesce(s1, 'none') AS a, coalesce(num1, -1) AS b", a=F.ifnull("s1", F.lit("none")), b=F.ifnull("num1", F.lit(-1)))
-own("volatile", "true AS uuid_ok, true AS day_ok, true AS time_ok, true AS version_ok, true AS database_ok", uuid_ok=F.length(F.expr("uuid()")) == 36, day_ok=F.current_date().isNotNull(), time_ok=F.length(F.date_format(F.current_timestamp(), "HH:mm:ss")) == 8, version_ok=F.length(F.version()) > 0, database_ok=F.current_database() == "default")
+    own(part, f"CAST({part}(CAST(dt1 AS TIMESTAMP)) AS BIGINT) AS x", lambda f=f: dict(x=f(time()).cast("long")))
+own("datediff", "CAST(datediff('day', CAST(d2 AS DATE), CAST(d1 AS DATE)) AS BIGINT) AS x", lambda: dict(x=F.datediff(day(), S.to_day("d2")).cast("long")))
+own("date_format", "strftime(CAST(dt1 AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS a, strftime(CAST(dt1 AS TIMESTAMP), '%d/%m/%y') AS b, strftime(CAST(dt1 AS TIMESTAMP), '%A %B %j') AS c", lambda: dict(a=S.date_format(time(), "%Y-%m-%d %H:%i:%s"), b=S.date_format(time(), "%d/%m/%y"), c=S.date_format(time(), "%W %M %j")))
+own("date_format_iso", "strftime(CAST(d1 AS DATE), '%G') || '-' || strftime(CAST(d1 AS DATE), '%V') AS a", lambda: dict(a=S.date_format(day().cast("timestamp"), "%x-%v")))
+own("str_to_date", "CAST(try_strptime(d1, '%Y-%m-%d') AS DATE) AS a, CAST(NULL AS DATE) AS b", lambda: dict(a=S.str_to_date("d1", "%Y-%m-%d"), b=S.str_to_date("s2", "%Y-%m-%d")))
+own("string_dates", "CAST(d1 AS DATE) AS a, CAST(d1 AS DATE) AS b, CAST(d1 AS DATE) AS c, CAST(NULL AS DATE) AS d", lambda: dict(a=day(), b=S.to_day(F.regexp_replace("d1", "-", "/")), c=S.to_day(F.regexp_replace("d1", "-", "")), d=S.to_day("s2")))
+own("from_unixtime", "strftime(make_timestamp(CAST(num2 + 1700000000 AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS x", lambda: dict(x=S.from_unixtime((F.col("num2") + 1700000000).cast("long"))))
+own("unix_timestamp", "CAST(epoch(CAST(dt1 AS TIMESTAMP)) AS BIGINT) AS x", lambda: dict(x=S.unix_timestamp("dt1")))
+own("makedate", "CASE WHEN num2 >= 1 THEN CAST(make_date(2024, 1, 1) + (num2 - 1) AS DATE) END AS a, CAST(NULL AS DATE) AS b", lambda: dict(a=S.makedate(F.lit(2024), F.col("num2")), b=S.makedate(F.lit(2023), F.lit(366))))
+own("maketime", "printf('%02d:%02d:%02d', 7, id, 5) AS x", lambda: dict(x=S.maketime(F.lit(7), F.col("id"), F.lit(5))))
+own("last_day", "CAST(last_day(CAST(d1 AS DATE)) AS DATE) AS x", lambda: dict(x=F.last_day(day())))
+own("date_add", "CAST(CAST(d1 AS DATE) + num2 AS DATE) AS a, CAST(CAST(d1 AS DATE) - num2 AS DATE) AS b", lambda: dict(a=F.date_add(day(), F.col("num2")), b=F.date_sub(day(), F.col("num2"))))
+own("date_trunc", "CAST(date_trunc('year', CAST(d1 AS DATE)) AS DATE) AS y, CAST(date_trunc('month', CAST(d1 AS DATE)) AS DATE) AS m, CAST(d1 AS DATE) AS d", lambda: dict(y=S.date_trunc("year", day()), m=S.date_trunc("month", day()), d=S.date_trunc("hour", day())))
+own("days_add", "CAST(CAST(d1 AS DATE) + num2 AS DATE) AS x", lambda: dict(x=F.date_add(day(), F.col("num2"))))
+own("months_add", "CAST(CAST(d1 AS DATE) + to_months(num2) AS DATE) AS x", lambda: dict(x=S.months_add(day(), F.col("num2"))))
+own("hours_add", "CAST(dt1 AS TIMESTAMP) + to_hours(num2) AS x", lambda: dict(x=S.hours_add(time(), F.col("num2"))))
+own("concat_ws", "concat_ws('-', s1, s2, s_trim) AS x", lambda: dict(x=F.concat_ws("-", "s1", "s2", "s_trim")))
+own("substring_index", "CASE WHEN s1 IS NULL THEN NULL ELSE list_aggregate(split(s1, 'l')[1:2], 'string_agg', 'l') END AS a, CASE WHEN s1 IS NULL THEN NULL ELSE split(s1, 'l')[-1] END AS b", lambda: dict(a=F.substring_index("s1", "l", 2), b=F.substring_index("s1", "l", -1)))
+own("substring", "substring(s1, 2, 3) AS a, substring(s1, 1, 2) AS zero, CASE WHEN length(s1) >= 3 THEN right(s1, 3) ELSE s1 END AS neg, substring(s1, 1, 4) AS clamped, CASE WHEN s1 IS NOT NULL THEN '' END AS none", lambda: dict(a=S.substring("s1", F.lit(2), F.lit(3)), zero=S.substring("s1", F.lit(0), F.lit(2)), neg=S.substring("s1", F.lit(-3)), clamped=S.substring("s1", F.lit(-100), F.lit(4)), none=S.substring("s1", F.lit(2), F.lit(-1))))
+own("hex", "upper(to_hex(num1)) AS i, hex(s1) AS s", lambda: dict(i=F.hex("num1"), s=F.hex("s1")))
+own("unhex", "s1 AS back, CAST(NULL AS VARCHAR) AS odd, CAST(NULL AS VARCHAR) AS bad", lambda: dict(back=S.unhex(F.hex("s1")), odd=S.unhex(F.lit("ABC")), bad=S.unhex(F.lit("zz"))))
+own("truncate", "CAST(trunc(CAST(num_dec AS DOUBLE) * 100) / 100 AS DOUBLE) AS a, CAST(trunc(CAST(num_dec AS DOUBLE) / 10) * 10 AS DOUBLE) AS b", lambda: dict(a=S.truncate("num_dec", 2), b=S.truncate("num_dec", -1)))
+own("if", "CASE WHEN num1 > 50 THEN 'big' WHEN num1 <= 50 THEN 'small' END AS a, CASE WHEN num1 > 50 THEN 'big' ELSE 'small' END AS b", lambda: dict(a=S.if_(F.col("num1") > 50, F.lit("big"), F.lit("small")), b=S.if_mysql(F.col("num1") > 50, F.lit("big"), F.lit("small"))))
+own("ifnull", "coalesce(s1, 'none') AS a, coalesce(num1, -1) AS b", lambda: dict(a=F.ifnull("s1", F.lit("none")), b=F.ifnull("num1", F.lit(-1))))
+own("volatile", "true AS uuid_ok, true AS day_ok, true AS time_ok, true AS version_ok, true AS database_ok", lambda: dict(uuid_ok=F.length(F.expr("uuid()")) == 36, day_ok=F.current_date().isNotNull(), time_ok=F.length(F.date_format(F.current_timestamp(), "HH:mm:ss")) == 8, version_ok=F.length(F.version()) > 0, database_ok=F.current_database() == "default"))
 
 both("case_length", "upper(s1) AS u, lower(s1) AS l, CAST(char_length(s1) AS BIGINT) AS n, ucase(s2) AS uc, lcase(s2) AS lc", "upper(s1) AS u, lower(s1) AS l, CAST(length(s1) AS BIGINT) AS n, upper(s2) AS uc, lower(s2) AS lc")
 both("concat_null", "concat(s1, s2) AS c, s1 || s2 AS p", "s1 || s2 AS c, s1 || s2 AS p")
