@@ -147,7 +147,7 @@ def rules(docs: DataFrame, *, path: str | None = None, lang_col: str | None = "l
     rows = written(rows.withColumn("kind", F.coalesce("kind", F.concat(F.lit("*"), "script"))).withColumn("cls", F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))).cast("int")), "quality")
     names = ("chars_per_token", "byte_share", "entropy")
     bands = rows.filter(~F.col("base_failed") & F.col("in_band")).groupBy("kind", "cls").agg(F.count("*").alias("__n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"__{c}") for c in names])
-    bands = bands.filter(F.col("__n") >= LEAST_TEXTS).withColumnsRenamed({"kind": "__kind", "cls": "__cls"})
+    bands = written(bands.filter(F.col("__n") >= LEAST_TEXTS).withColumnsRenamed({"kind": "__kind", "cls": "__cls"}), "bands")  # its size is known to the join
     off = {c: (F.col(c) - F.col(f"__{c}")[1]) / F.greatest((F.col(f"__{c}")[2] - F.col(f"__{c}")[0]) / 1.349, F.lit(least)) for c, least in zip(names, (0.01, 0.01, 0.05), strict=True)}
     usual = (F.abs(off["chars_per_token"]) <= far) & (off["byte_share"] <= far) & (off["entropy"] >= -far)
     out = rows.join(bands, (F.col("kind") == F.col("__kind")) & (F.col("cls") == F.col("__cls")), "left")
