@@ -16,15 +16,16 @@ the overlaps. Only blocks of the product that can hold a link are computed:
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from itertools import groupby, pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 N = 4
 THRESHOLD = (85, 100)
@@ -32,10 +33,11 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Keys that a bucket of the key exchange holds, about.
 BUCKET_KEYS = 1_000_000
 #: Rows that a block of the product holds, about.
-BLOCK_ROWS = 3000
-#: Keys of a batch that are made at once.
+BLOCK_ROWS = 2000
+#: Keys, or bytes of text, that are made at once.
 AT_ONCE = 400_000
-CACHE = 300_000
+#: Counters of n-grams by their first bits, as a power of two, and the rows that they are sent in.
+SKETCH_BITS, SKETCH_ROWS = 20, 64
 U = np.uint64
 
 
@@ -46,31 +48,84 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-class Words(dict):
-    """A word's 64-bit hash."""
+@cache
+def _byte_hashes() -> np.ndarray:
+    return _mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        out = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out
-        return out
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_powers: list[np.ndarray] = []
+
+
+def _up_and_down(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if not _powers or len(_powers[0]) < n:
+        base = 0xD6E8FEB86659FD93
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, x, U)])) for x in (base, pow(base, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The first bytes and the 64-bit hashes of the words of ``data``: differences of one running sum over the bytes."""
+    t = np.frombuffer(data, np.uint8)
+    space = np.concatenate([[True], _SPACE[t], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    first, end = edge[::2], edge[1::2]
+    up, down = _up_and_down(max(AT_ONCE, len(t)))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[U(0)], np.cumsum(_byte_hashes()[t] * up[: len(t)])])
+        return first, _mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(U))
 
 
-def shingles(text: str | None, words: Words, n: int = N) -> np.ndarray:
-    """The set of the text's hashed n-grams, sorted; with fewer words, of the whole sequence."""
-    own = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # of bytes: at ASCII white space alone
-    if not own:
-        return np.empty(0, U)
-    h = np.fromiter(map(words.__getitem__, own), U, len(own))
-    m = min(n, len(h))
+def _shingled(h: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        out = np.full(len(h) - m + 1, m, U)
-        for k in range(m):
-            out = _mixed(out * U(0x9E3779B97F4A7C15) + h[k : len(h) - m + 1 + k])
-    return np.unique(out)
+        out = np.full(max(0, len(h) - n + 1), n, U)
+        for k in range(n):
+            out = _mixed(out * U(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
+    return out
+
+
+def _long_text(data: bytes, n: int) -> np.ndarray:
+    """A long text's words are hashed in parts that end between words."""
+    held, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + AT_ONCE)
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        held.append(_words(data[at:end])[1])
+        at = end
+    h = np.concatenate(held)
+    return np.unique(_shingled(h, min(n, len(h)))) if len(h) else h
+
+
+def shingle_sets(texts: Iterable[str | None], n: int = N) -> list[np.ndarray]:
+    """For each text the set of its hashed n-grams, sorted; with fewer words, of the whole sequence. Words are parted by ASCII white space, and A-Z are a-z."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def run() -> None:
+        first, h = _words(b"\n".join(held))
+        cuts = np.searchsorted(first, np.cumsum([0, *(len(x) + 1 for x in held)]))
+        grams = _shingled(h, n)
+        for a, b in pairwise(cuts.tolist()):
+            out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else _shingled(h[a:b], b - a) if b > a else np.empty(0, U))
+        held.clear()
+
+    size = 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
+        if held and size + len(data) > AT_ONCE:
+            run()
+            size = 0
+        if len(data) > AT_ONCE:
+            out.append(_long_text(data, n))
+        else:
+            held.append(data)
+            size += len(data) + 1
+    if held:
+        run()
+    return out
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -107,17 +162,19 @@ class Bounds:
         while low <= most:
             high = max(low, low * self.den // self.num)
             apart = self.most_apart(high)
-            spare = 2 + apart // 25
+            spare = 2 + apart * 2 // 5
             out.append((high, apart + 1 + spare, spare))
             low = high + 1
         return out
 
 
-def keys_of(s: np.ndarray, levels: list[tuple[int, int, int]]) -> np.ndarray:
+def keys_of(s: np.ndarray, levels: list[tuple[int, int, int]], common: np.ndarray | None = None) -> np.ndarray:
     """The keys under which a set meets its partners: those of its own class, and of the next for larger partners.
 
-    With H members apart there are H + 1 + spare parts; a pair agrees in spare + 1 of them at least, so a set with at most
-    ``spare`` empty parts need not give keys for those. A set with more does, to meet others of that kind.
+    With H members apart there are H + 1 + spare parts; a pair agrees in spare + 1 of them at least. Each set gives the keys of all
+    but its ``spare`` weakest parts, in one order of parts by their content: the strongest part in which a pair agrees has spare others
+    below it on both sides, so both give its key. A part is the stronger the more rare members it has, and then the more members, for few
+    share those by chance. ``common`` marks, by their first bits, n-grams that many documents have; it decides what is strong, never what is right.
     """
     n = len(s)
     k = bisect_left(levels, (n,))
@@ -130,10 +187,17 @@ def keys_of(s: np.ndarray, levels: list[tuple[int, int, int]]) -> np.ndarray:
             order = np.argsort(part, kind="stable")
             part, mixed = part[order], _mixed(mixed[order])
             first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            out.append(_mixed(np.add.reduceat(mixed, first) ^ _mixed(part[first] * U(128) + U(at))))
-            if parts - len(first) > spare:
+            keys = _mixed(np.add.reduceat(mixed, first) ^ _mixed(part[first] * U(128) + U(at)))
+            sizes = np.diff(np.append(first, n))
+            rare = np.add.reduceat((~common[(s >> U(64 - SKETCH_BITS)).astype(np.int64)])[order].astype(np.int64), first) if common is not None else sizes
+            give = parts - spare
+            if len(keys) < give:  # the rest are empty parts, of which all have the same content
                 empty = np.setdiff1d(np.arange(parts, dtype=U), part[first])
-                out.append(_mixed(_mixed(empty * U(128) + U(at)) ^ U(1 << 60)))
+                empty = np.sort(_mixed(_mixed(empty * U(128) + U(at)) ^ U(1 << 60)))
+                keys = np.concatenate([keys, empty[len(empty) - (give - len(keys)) :]])
+            else:
+                keys = keys[np.lexsort((keys, sizes, rare))[len(keys) - give :]]
+        out.append(keys)
     return np.concatenate(out)
 
 
@@ -147,10 +211,11 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[new], ids[new], ids[tied], hub[tied]
 
 
-def ties(docs: DataFrame, levels: list[tuple[int, int, int]], buckets: int, n: int = N) -> DataFrame:
+def ties(docs: DataFrame, levels: list[tuple[int, int, int]], buckets: int, common: np.ndarray, n: int = N) -> DataFrame:
     """Step 1: (a, b), set hashes of rows that share a key; no key is lost, and a hot key gives a row for each batch that has it."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
     def batch_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
         held_k: list[np.ndarray] = []
         held_i: list[np.ndarray] = []
         size = 0
@@ -172,10 +237,9 @@ def ties(docs: DataFrame, levels: list[tuple[int, int, int]], buckets: int, n: i
             yield out
 
         for batch in batches:
-            for text in batch["text"]:
-                s = shingles(text, words, n)
+            for s in shingle_sets(batch["text"], n):
                 if len(s):
-                    own = keys_of(s, levels)
+                    own = keys_of(s, levels, shared.value)
                     held_k.append(own)
                     held_i.append(np.full(len(own), set_hash(s)[0], np.int64))
                     size += len(own)
@@ -222,13 +286,16 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("__a"), F.least("a", "m").alias("__m"))
+        least = written(least, "least")  # a join of two plain shuffles, whose hubs Spark can split
         large = both.join(least, F.col("a") == F.col("__a")).filter("b > a").select(F.col("b").alias("a"), F.col("__m").alias("b")).filter("a <> b").distinct()
         large = written(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("__m")).withColumnRenamed("a", "__a")
+        low = written(low, "low")
         joined = large.join(low, F.col("a") == F.col("__a"))
         small = joined.select(F.col("b").alias("a"), F.col("__m").alias("b")).unionAll(joined.select("a", F.col("__m").alias("b"))).filter("a <> b").distinct()
         small = written(small, "small")
         same = small.count() == edges.count() and small.exceptAll(edges).isEmpty()
+        discard(edges, least, large, low)
         edges = small
         if same:
             break
@@ -318,9 +385,8 @@ LINKED = "h1 long, h2 long, label long, block int, part string"
 
 def _linked(cand: DataFrame, bounds: Bounds, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
         for _, rows in _blocks(batches, ["label", "block"]):
-            root = link([shingles(t, words, n) for t in rows["text"]], bounds)
+            root = link(shingle_sets(rows["text"], n), bounds)
             names = [_name(a, b) for a, b in zip(rows["h1"], rows["h2"], strict=True)]
             yield rows[["h1", "h2", "label", "block"]].assign(part=[names[k] for k in root])
 
@@ -328,8 +394,8 @@ def _linked(cand: DataFrame, bounds: Bounds, n: int) -> DataFrame:
 
 
 def _across(cand: DataFrame, parts: DataFrame, bounds: Bounds, n: int) -> DataFrame:
-    """Step 3: (a, b), parts of a candidate group with several blocks that a link connects."""
-    several = written(parts.filter("block > 0").select("label").distinct(), "several").withColumnRenamed("label", "__label")
+    """Step 3: (node, label) of the parts of candidate groups with several blocks, after links between blocks."""
+    several = written(parts.filter("block > 0").select(F.col("label").alias("__label")).distinct(), "several")
     parts = written(parts.join(several, F.col("label") == F.col("__label"), "left_semi"), "parts")
     texts = cand.join(several, F.col("label") == F.col("__label"), "left_semi").select("h1", "h2", "text")
     held = parts.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "label", "block", "part")
@@ -340,10 +406,9 @@ def _across(cand: DataFrame, parts: DataFrame, bounds: Bounds, n: int) -> DataFr
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        words = Words()
         out = []
         for x, y in zip(a, b, strict=True):
-            p, q = shingles(x, words, n), shingles(y, words, n)
+            p, q = shingle_sets([x, y], n)
             out.append(bool(bounds.linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
         return pd.Series(out)
 
@@ -355,18 +420,61 @@ def _across(cand: DataFrame, parts: DataFrame, bounds: Bounds, n: int) -> DataFr
     both = rows.select("label", "block", "part", "h1", "h2", "text", F.lit(False).alias("new")).unionAll(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
         for _, own in _blocks(batches, ["label", "block"]):
             new = own["new"].to_numpy(bool)
             if new.any():
                 names, part = np.unique(own["part"].to_numpy(str), return_inverse=True)
                 first = np.unique(part, return_index=True)[1]
-                root = link([shingles(t, words, n) for t in own["text"]], bounds, first[part], new)
+                root = link(shingle_sets(own["text"], n), bounds, first[part], new)
                 pairs = {(names[part[i]], names[part[root[i]]]) for i in first.tolist()}
                 yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"])
 
     found = both.repartition("label", "block").sortWithinPartitions("label", "block").mapInPandas(run, "a string, b string")
-    return found.unionAll(main.select(F.col("part").alias("a"), F.col("hub_part").alias("b"))).filter("a <> b")
+    out = components(found.unionAll(main.select(F.col("part").alias("a"), F.col("hub_part").alias("b"))), cand.sparkSession)
+    discard(several, parts, rows, main)
+    return out
+
+
+def describe(docs: DataFrame, n: int = N) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n, h1, h2 of each row's set, and which counters of n-grams are far above their mean.
+
+    The counters are of fixed size; each task adds up its own, and those are added up in pieces.
+    """
+    part = (1 << SKETCH_BITS) // SKETCH_ROWS
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        for batch in batches:
+            sets = shingle_sets(batch["text"], n)
+            for s in sets:
+                counts[(s >> U(64 - SKETCH_BITS)).astype(np.int64)] += 1
+            yield pd.DataFrame([(len(s), *set_hash(s)) for s in sets], columns=["n", "h1", "h2"]).assign(doc_id=batch["doc_id"].astype("Int64").to_numpy(), counts=None)
+        yield pd.DataFrame([(None, -1, k, 0, counts[k * part : (k + 1) * part].tobytes()) for k in range(SKETCH_ROWS)], columns=["doc_id", "n", "h1", "h2", "counts"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (k,), own in _streams(batches, "h1", "counts", lambda x: np.frombuffer(x, np.int32).astype(np.int64)):
+            yield pd.DataFrame({"h1": [k], "counts": [own.tobytes()]})
+
+    both = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, n long, h1 long, h2 long, counts binary"), "sets")
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    pieces = both.filter("n < 0").select("h1", "counts").repartition("h1").sortWithinPartitions("h1").mapInPandas(add, "h1 long, counts binary")
+    for r in pieces.collect():  # SKETCH_ROWS rows, whatever the input
+        total[r["h1"] * part : (r["h1"] + 1) * part] += np.frombuffer(bytes(r["counts"]), np.int64)
+    mean = total.mean()
+    return both.filter("n >= 0").select("doc_id", "n", "h1", "h2"), total > 2 * mean + 6 * mean**0.5 + 8
+
+
+def _streams(batches: Iterator[pd.DataFrame], key: str, column: str, value: Callable) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Sums of ``column`` for each key of a sorted partition; one sum is held."""
+    at, own = None, None
+    for batch in batches:
+        for k, x in zip(batch[key].tolist(), batch[column], strict=True):
+            if k != at and own is not None:
+                yield (at,), own
+                own = None
+            at, own = k, value(x) if own is None else own + value(x)
+    if own is not None:
+        yield (at,), own
 
 
 def join(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, n: int = N, block_rows: int = BLOCK_ROWS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -382,34 +490,28 @@ def join(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, n: int = N,
     bounds = Bounds(*threshold)
     docs = docs.select("doc_id", "text")
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for batch in batches:
-            sets = [shingles(t, words, n) for t in batch["text"]]
-            yield pd.DataFrame([(len(s), *set_hash(s)) for s in sets], columns=["n", "h1", "h2"]).assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())
-
-    small = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(describe, "doc_id long, n long, h1 long, h2 long"), "sets")
+    small, common = describe(docs, n)
     full = small.filter("n > 0")
     total = full.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.37 / bucket_keys) + spark.sparkContext.defaultParallelism)
-    groups = components(ties(docs, bounds.levels(), buckets, n), spark)
+    groups = components(ties(docs, bounds.levels(), buckets, common, n), spark)
     reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     mine = written(reps.join(groups, F.col("h1") == F.col("node")).select("h1", "h2", "rep", "n", "label"), "candidates")
     shape = mine.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / (block_rows * 1000))).cast("int").alias("blocks")).withColumnRenamed("label", "__label")
     placed = mine.join(shape, F.col("label") == F.col("__label")).select("h1", "h2", "rep", "label", F.pmod("h2", F.col("blocks")).cast("int").alias("block"))
-    cand = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("h1", "h2", "label", "block", "text")
+    cand = docs.join(placed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("h1", "h2", "label", "block", "text")
 
     def same_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """An id may stand for several texts; the set that is meant stays."""
-        words = Words()
         for batch in batches:
-            yield batch[[set_hash(shingles(t, words, n)) == (a, b) for t, a, b in zip(batch["text"], batch["h1"], batch["h2"], strict=True)]]
+            yield batch[[set_hash(s) == (a, b) for s, a, b in zip(shingle_sets(batch["text"], n), batch["h1"], batch["h2"], strict=True)]]
 
     cand = written(cand.mapInPandas(same_set, cand.schema), "candidate-texts")
     parts = written(_linked(cand, bounds, n), "linked")
     if not parts.filter("block > 0").isEmpty():
-        merged = components(_across(cand, parts, bounds, n), spark).select(F.col("node").alias("__node"), F.col("label").alias("__to"))
+        merged = _across(cand, parts, bounds, n).select(F.col("node").alias("__node"), F.col("label").alias("__to"))
         parts = parts.join(merged, F.col("part") == F.col("__node"), "left").withColumn("part", F.coalesce("__to", "part"))
+    discard(cand)
     parts = parts.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "part").distinct()
     named = reps.join(parts, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left").select("h1", "h2", "rep", "part")
     least = named.filter("part is not null").groupBy("part").agg(F.min("rep").alias("least")).withColumnRenamed("part", "__part")
