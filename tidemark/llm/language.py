@@ -104,7 +104,7 @@ def fit(docs: DataFrame, *, rows_a_language: int = ROWS_A_LANGUAGE, text_col: st
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__lang`` and ``__score``. The matrix of log probabilities, of fixed size, is broadcast."""
+    """Each row of ``docs`` as a struct ``row``, with ``lang_pred`` and ``score``. The matrix of log probabilities, of fixed size, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") ->
         lang, score = shared.value.scored(texts.where(texts.notna(), None).tolist())
         return pd.DataFrame({"lang": lang, "score": score})
 
-    return docs.withColumn("__p", of(F.col(text_col))).withColumn("__lang", F.col("__p.lang")).withColumn("__score", F.col("__p.score")).drop("__p")
+    return docs.select(F.struct("*").alias("row"), of(F.col(text_col)).alias("p")).select("row", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
 def identify(docs: DataFrame, *, rows_a_language: int = ROWS_A_LANGUAGE) -> DataFrame:
@@ -124,7 +124,7 @@ def identify(docs: DataFrame, *, rows_a_language: int = ROWS_A_LANGUAGE) -> Data
     """
     held = fold(F.col("doc_id"), 4) == 2
     model = fit(docs.filter(~held), rows_a_language=rows_a_language)
-    return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

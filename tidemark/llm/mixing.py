@@ -28,7 +28,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
         "__key": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)),
     }
     new = [c.alias(n) for n, c in made.items()]
-    out = docs.select(*(["*"] if keep else []), *new)
+    out = docs.select(*([F.struct("*").alias("__row")] if keep else []), *new)
     return out.withColumn("__range", F.shiftrightunsigned("__key", 64 - RANGE_BITS))
 
 
@@ -102,7 +102,7 @@ def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     small = _keyed(docs, id_col, text_col, source_col, seed, keep=False).select("__src", "__name", "__range", "__size")
     out = _decided(_keyed(docs, id_col, text_col, source_col, seed, keep=True), _cuts(small, weights, most))
     times = (F.col("__epochs") + (F.col("__part") > 0).cast("long")).cast("int")
-    return out.withColumn("__again", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("__again", F.explode(F.array_repeat(F.lit(0), times))).select("__row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
