@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import table, written
 
 MODEL = "piece_bpe_32k.model"
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
-CACHE, CACHE_BYTES = 300_000, 64
+CACHE, CACHE_BYTES = 600_000, 64
 #: A script's letters, as ranges of code points. Fixed values, from the Unicode blocks.
 SCRIPTS = {
     "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
@@ -35,25 +36,28 @@ SCRIPTS = {
     "kana": ((0x3040, 0x30FF),),
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)),
 }
+LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+NOT_LATIN = re.compile("[^\x00-\u036f\u1e00-\u1eff\u2000-\u20cf]")
 #: Per script: least and most characters per token, most byte fallback, least entropy as a share of what so many tokens can have.
 BANDS = {"latin": (1.3, 8.0, 0.2, 0.35), "greek": (0.5, 8.0, 0.6, 0.3), "cyrillic": (0.9, 8.0, 0.5, 0.3), "none": (0.8, 8.0, 0.5, 0.35)}
 OTHER_BAND = (0.2, 8.0, 1.0, 0.25)
 #: A text is far off beyond so many deviations (estimated from the quartiles) from the median of its language and length; a kind needs so many texts.
-FAR, LEAST_TEXTS = 3.5, 50
+FAR, LEAST_TEXTS = 4.5, 50
 
 
 class Pieces(dict):
-    """A word's (ids, number of byte tokens); a word is encoded by itself, with the blank that starts it."""
+    """A word's ids as 16-bit integers; a word is encoded by itself, with the blank that starts it."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
-        self.bytes = {i for i in range(self.model.get_piece_size()) if self.model.is_byte(i)}
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        if len(self.is_byte) > 1 << 16:
+            raise ValueError("the vocabulary has more than 65,536 pieces")
 
-    def __missing__(self, word: bytes) -> tuple[list[int], int]:
-        ids = self.model.encode(word.decode("utf-8", "replace"))
-        out = (ids, sum(i in self.bytes for i in ids))
+    def __missing__(self, word: bytes) -> bytes:
+        out = array("H", self.model.encode(word.decode("utf-8", "replace"))).tobytes()
         if len(word) <= CACHE_BYTES:
             if len(self) >= CACHE:
                 self.clear()
@@ -63,8 +67,10 @@ class Pieces(dict):
 
 def script_of(text: str) -> str:
     """The script of most letters, ``none`` without any; the earlier of SCRIPTS if two have as many."""
+    if not NOT_LATIN.search(text):
+        return "latin" if LATIN.search(text) else "none"
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = {name: sum(int(((codes >= a) & (codes <= b)).sum()) for a, b in ranges) for name, ranges in SCRIPTS.items()} if len(codes) else {"none": 0}
+    n = {name: sum(int(((codes >= a) & (codes <= b)).sum()) for a, b in ranges) for name, ranges in SCRIPTS.items()}
     best = max(n, key=n.__getitem__)
     return best if n[best] else "none"
 
@@ -80,32 +86,33 @@ def base_rules(text: str, window: int = 8) -> tuple[list[bytes], tuple[int, int,
     if n > window:
         ids: dict[bytes, int] = {}
         at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
-        # Windows are named by pairs of names of their halves, so equal names mean equal words.
-        span = 1
-        while span < window:
-            at = np.unique(at[:-span] * (int(at.max()) + 1) + at[span:], return_inverse=True)[1]
-            span *= 2
-        again = np.bincount(at)[at] > 1
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, np.flatnonzero(again), 1)
-        np.add.at(edge, np.flatnonzero(again) + window, -1)
-        repeated = int((np.cumsum(edge[:-1]) > 0).sum())
+        with np.errstate(over="ignore"):
+            quick = np.zeros(n - window + 1, np.int64)
+            for k in range(window):
+                quick = quick * 0x5851F42D4C957F2D + at[k : n - window + 1 + k]
+        quick.sort()
+        if (quick[1:] == quick[:-1]).any():  # equal windows have equal values; whether those that have are equal is told by names
+            # Windows are named by pairs of names of their halves, so equal names mean equal words.
+            span = 1
+            while span < window:
+                at = np.unique(at[:-span] * (int(at.max()) + 1) + at[span:], return_inverse=True)[1]
+                span *= 2
+            again = np.bincount(at)[at] > 1
+            edge = np.zeros(n + 1, np.int64)
+            np.add.at(edge, np.flatnonzero(again), 1)
+            np.add.at(edge, np.flatnonzero(again) + window, -1)
+            repeated = int((np.cumsum(edge[:-1]) > 0).sum())
     return words, (n, chars, len(SYMBOLS.findall(data)), len(lines) - len(set(lines)), repeated)
 
 
 def fertility(words: list[bytes], chars: int, pieces: Pieces) -> tuple[int, float, float, float]:
     """(tokens, characters per token, share of byte tokens, entropy in bits)."""
-    ids: list[int] = []
-    n_bytes = 0
-    for w in words:
-        own, k = pieces[w]
-        ids += own
-        n_bytes += k
-    if not ids:
+    ids = np.frombuffer(b"".join(map(pieces.__getitem__, words)), np.uint16)
+    if not len(ids):
         return 0, 0.0, 0.0, 0.0
-    counts = np.bincount(np.array(ids, np.int32))
+    counts = np.bincount(ids)
     p = counts[counts > 0] / len(ids)
-    return len(ids), chars / len(ids), n_bytes / len(ids), float(-(p * np.log2(p)).sum())
+    return len(ids), chars / len(ids), float(counts[pieces.is_byte[: len(counts)]].sum() / len(ids)), float(-(p * np.log2(p)).sum())
 
 
 def within(script: str, tokens: int, fertile: float, fallback: float, entropy: float) -> bool:
