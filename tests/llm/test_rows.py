@@ -169,6 +169,14 @@ def test_repeats(request, which, length, gram, shard):
     assert by_id(map(tuple, suffix_dedup.cleaned(df, length=length, gram=gram, shard=shard).collect())) == by_id(want)
 
 
+def test_names_with_many_segments(odd, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    rows = table(odd)
+    texts = [(t or "").encode() for _, t, _ in rows]
+    want = [(i, len(t), *x) for (i, _, _), t, x in zip(rows, texts, plain_removed(texts, 60), strict=True)]
+    assert by_id(map(tuple, suffix_dedup.cleaned(odd, length=60, gram=16, shard=900).collect())) == by_id(want)
+
+
 @pytest.mark.parametrize("symbols", [2, 3, 200])
 def test_suffix_arrays(symbols):
     rng = np.random.default_rng(symbols)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .ngram_join import U, _blocks, _mixed
 
 LENGTH = 400
@@ -27,6 +27,8 @@ GRAM = 64
 AT_ONCE = 1 << 20
 #: Bytes of a shard, about. A name's segments stay together.
 SHARD = 2 << 20
+#: Shards' worth of different segments that a name has at most in a suffix array; strings of a name with more are counted one by one, by hash.
+HOT = 8
 #: Not a byte of UTF-8.
 SEPARATOR = 0xFF
 #: Up to so many symbols a string is sorted by induction; beyond that its buckets are too small for vector steps.
@@ -300,6 +302,19 @@ def segments_of(data: list[bytes], length: int = LENGTH, gram: int = GRAM, at_on
         yield run()
 
 
+def string_hashes(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each string of ``length`` bytes of ``data``, as two arrays."""
+    t = np.frombuffer(data, np.uint8)
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            up = np.multiply.accumulate(np.full(len(t) + 1, base, U))
+            down = np.multiply.accumulate(np.full(len(t) + 1, pow(base, -1, 1 << 64), U))
+            sums = np.concatenate([[U(0)], np.cumsum(_mixed(t.astype(U) + U(base)) * up[: len(t)])])
+            out.append(_mixed((sums[length:] - sums[:-length]) * down[: len(t) - length + 1]).astype(np.int64))
+    return out[0], out[1]
+
+
 def _utf8(texts: pd.Series) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
@@ -315,6 +330,24 @@ def _other(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"__{c}" for c in names})
 
 
+def _counted_strings(parts: DataFrame, length: int) -> DataFrame:
+    """(name, h1, h2, runs) for segments of names that have too many for a suffix array.
+
+    Each string goes by its hash, so that no name's strings meet in one task and equal ones are added up before the shuffle.
+    """
+
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, h1, h2, times, part in zip(batch["name"], batch["h1"], batch["h2"], batch["times"], batch["part"], strict=True):
+                w1, w2 = string_hashes(bytes(part), length)
+                yield pd.DataFrame({"name": name, "h1": h1, "h2": h2, "times": times, "at": np.arange(len(w1)), "w1": w1, "w2": w2})
+
+    each = parts.select("name", "h1", "h2", "times", "part").mapInPandas(strings, "name long, h1 long, h2 long, times int, at long, w1 long, w2 long")
+    twice = written(each.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1").select(F.col("w1").alias("__w1"), F.col("w2").alias("__w2")), "twice")
+    found = each.join(twice, _same("w1", "w2")).groupBy("name", "h1", "h2").agg(F.collect_set("at").alias("at"))
+    return found.select("name", "h1", "h2", F.transform("at", lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("runs"))
+
+
 def _verdicts(docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
     """(k1, k2, runs): for the rows of ``docs`` (k1, k2, text) with repeated strings, the first and last starts of runs of them."""
 
@@ -328,6 +361,7 @@ def _verdicts(docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
     twice = written(placed.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "names")
     found = placed.join(_other(twice, "name"), _same("name")).groupBy("k1", "k2").agg(F.collect_set(F.struct("name", "a", "b")).alias("own"))
     found = written(found, "found")
+    discard(placed, twice)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each segment with the hash of its bytes; the bytes come with the first of those alike in a batch, and with how many there are, 2 at most."""
@@ -338,15 +372,21 @@ def _verdicts(docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
                     part = data[x["a"] : x["b"] + length]
                     h = hashlib.blake2b(part, digest_size=16).digest()
                     j = at.setdefault((x["name"], h), len(rows))
-                    rows.append([k1, k2, x["name"], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), x["a"], 1 if j == len(rows) else 0, part if j == len(rows) else None])
+                    rows.append([k1, k2, x["name"], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), x["a"], len(part), 1 if j == len(rows) else 0, part if j == len(rows) else None])
                     if j < len(rows) - 1:
-                        rows[j][6] = 2
-            yield pd.DataFrame(rows, columns=["k1", "k2", "name", "h1", "h2", "a", "times", "part"])
+                        rows[j][7] = 2
+            yield pd.DataFrame(rows, columns=["k1", "k2", "name", "h1", "h2", "a", "size", "times", "part"])
 
     one = docs.select("k1", "k2", "text").join(_other(found, "k1", "k2"), _same("k1", "k2")).select("k1", "k2", "text", "own")
-    cuts = written(one.mapInPandas(cut, "k1 long, k2 long, name long, h1 long, h2 long, a long, times int, part binary"), "cuts")
-    parts = cuts.filter("part is not null").select("name", "h1", "h2", "times", "part")
-    shards = max(1, (parts.agg(F.sum(F.length("part"))).first()[0] or 0) // shard)
+    cuts = written(one.mapInPandas(cut, "k1 long, k2 long, name long, h1 long, h2 long, a long, size long, times int, part binary"), "cuts")
+    discard(found)
+    parts = cuts.filter("times > 0").select("name", "h1", "h2", "size", "times", "part")
+    shards = max(1, (parts.agg(F.sum("size")).first()[0] or 0) // shard)
+    hot = written(parts.groupBy("name").agg(F.sum("size").alias("size")).filter(F.col("size") > HOT * shard).select(F.col("name").alias("__name")), "hot-names")
+    many = None
+    if not hot.isEmpty():
+        many = _counted_strings(parts.join(hot, F.col("name") == F.col("__name"), "left_semi"), length)
+        parts = parts.join(hot, F.col("name") == F.col("__name"), "left_anti")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _blocks(batches, ["shard"]):
@@ -358,12 +398,17 @@ def _verdicts(docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
                 h = hits[i]
                 gap = np.flatnonzero(np.diff(h) > 1)
                 runs.append([{"a": int(x), "b": int(y)} for x, y in zip(h[np.append(0, gap + 1)], h[np.append(gap, len(h) - 1)], strict=True)])
-            yield rows.iloc[at][["name", "h1", "h2"]].assign(runs=runs)
+            if at:
+                yield rows.iloc[at][["name", "h1", "h2"]].assign(runs=runs)
 
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
-    hits = written(dealt.mapInPandas(sort, "name long, h1 long, h2 long, runs array<struct<a:long,b:long>>"), "hits")
+    dealt = parts.select("name", "h1", "h2", "times", "part").withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
+    hits = dealt.mapInPandas(sort, "name long, h1 long, h2 long, runs array<struct<a:long,b:long>>")
+    hits = written(hits.unionAll(many) if many is not None else hits, "hits")
     at = cuts.select("k1", "k2", "name", "h1", "h2", F.col("a").alias("off")).join(_other(hits, "name", "h1", "h2"), _same("name", "h1", "h2"))
-    return at.select("k1", "k2", F.explode(F.transform("runs", lambda x: F.struct((x["a"] + F.col("off")).alias("a"), (x["b"] + F.col("off")).alias("b")))).alias("run")).groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"))
+    out = at.select("k1", "k2", F.explode(F.transform("runs", lambda x: F.struct((x["a"] + F.col("off")).alias("a"), (x["b"] + F.col("off")).alias("b")))).alias("run")).groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"))
+    out = written(out, "runs")
+    discard(cuts, hits, hot)
+    return out
 
 
 def removed(size: int, runs: list, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -387,7 +432,7 @@ def cleaned(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard: i
     """
     key = [F.xxhash64(F.lit(5), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(55), "text", "doc_id").alias("k2")]
     rows = docs.select("doc_id", "text", *key)
-    runs = written(_verdicts(rows.select("k1", "k2", "text"), length, gram, shard), "runs")
+    runs = _verdicts(rows.select("k1", "k2", "text"), length, gram, shard)
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
