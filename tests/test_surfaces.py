@@ -59,7 +59,7 @@ def test_streams_give_the_rows_of_batches(spark, sf):
     assert {tuple(r) for r in rows.collect()} == batch
 
 
-@pytest.mark.parametrize(("codes", "want"), [("%Y-%m-%d", "yyyy-MM-dd"), ("day %d", "'day 'dd"), ("%%", "'%'"), ("o'c", "'o''c'")])
+@pytest.mark.parametrize(("codes", "want"), [("%Y-%m-%d", "yyyy-MM-dd"), ("day %d", "'day 'dd"), ("%%", "%"), ("o'c", "'o''c'")])
 def test_patterns(codes, want):
     assert S.pattern(codes) == want
 

@@ -33,7 +33,8 @@ def pattern(codes: str) -> str:
     out, quoted, i = "", "", 0
 
     def flush() -> str:
-        return "'" + quoted.replace("'", "''") + "'" if quoted else ""
+        plain = not any(c.isalpha() or c in "[]{}#'" for c in quoted)
+        return quoted if plain else "'" + quoted.replace("'", "''") + "'"
 
     while i < len(codes):
         if codes[i] == "%" and i + 1 < len(codes):

@@ -99,8 +99,8 @@ def zrange(df: DataFrame, start: int, stop: int, key: str = "key", member: str =
     """Members by rank from ``start`` to ``stop``, both included; negative ranks count from the end."""
     up = F.row_number().over(Window.partitionBy(key).orderBy(score, member)) - 1
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    at = [F.lit(x) if x >= 0 else n + x for x in (start, stop)]
-    return df.withColumn("rank", up).filter((F.col("rank") >= at[0]) & (F.col("rank") <= at[1]))
+    at = [F.lit(x) if x >= 0 else F.col("__n") + x for x in (start, stop)]
+    return df.withColumns({"rank": up, "__n": n}).filter((F.col("rank") >= at[0]) & (F.col("rank") <= at[1])).drop("__n")
 
 
 # ---- search

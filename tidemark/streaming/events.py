@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,23 +11,30 @@ def stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _watched(df: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark, which needs times with a zone (the session's, UTC)."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if df.isStreaming else df
+
+
+def _local(name: str) -> Column:
+    return F.col(f"w.{name}").cast("timestamp_ntz").alias(name)
+
+
 def tumbling(df: DataFrame, width: str = "1 hour", late: str = "1 day", slide: str | None = None) -> DataFrame:
     """Counts and sums by window and type; rows later than ``late`` are dropped from a stream, and from a batch never."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    seen = df.withWatermark("ts", late) if df.isStreaming else df
-    out = seen.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
+    out = _watched(df, late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return out.select(_local("start"), _local("end"), "event_type", "n", "total")
 
 
 def sessions(df: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
-    seen = df.withWatermark("ts", late) if df.isStreaming else df
-    out = seen.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    out = _watched(df, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return out.select("user_id", _local("start"), _local("end"), "n")
 
 
 def first_seen(df: DataFrame, late: str = "1 day") -> DataFrame:
     """Each event once, though it is sent several times."""
-    return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if df.isStreaming else df.dropDuplicates(["event_id"])
+    return _watched(df, late).dropDuplicatesWithinWatermark(["event_id"]) if df.isStreaming else df.dropDuplicates(["event_id"])
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
