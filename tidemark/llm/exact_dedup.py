@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table, written
+from .common import SPACES, discard, table, written
 
 CHUNK = 1 << 16
 MODULI = (2_147_483_647, 2_147_483_629)
@@ -81,7 +81,7 @@ def _different(docs: DataFrame, rows: DataFrame, moduli: tuple[int, ...]) -> Dat
     """The rows (doc_id, n_code, fingerprint) whose text isn't that of the first row of their fingerprint, after all."""
     groups = rows.groupBy(*FP).agg(F.sum("m").alias("__m"), _first().alias("__first")).filter("__m > 1")
     groups = groups.select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("__first.doc_id").alias("__keep"), (-F.col("__first.col1")).alias("__keep_n"))
-    groups = written(groups, "groups")  # a join of two plain shuffles, whose hot fingerprints Spark can split
+    groups = groups_table = written(groups, "groups")  # a join of two plain shuffles, whose hot fingerprints Spark can split
     same_fp = F.lit(True)
     for c in FP:
         same_fp = same_fp & (F.col(c) == F.col(f"__{c}"))
@@ -89,7 +89,10 @@ def _different(docs: DataFrame, rows: DataFrame, moduli: tuple[int, ...]) -> Dat
     several = _normal(docs, moduli).join(groups, same_fp).select("doc_id", "n_code", *FP, (F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("n_code") == F.col("__keep_n"))).alias("is_first"), F.posexplode(parts).alias("at", "part"))
     several = written(several, "equal-fingerprints")
     first = several.filter("is_first").groupBy(*FP, "at").agg(F.first("part").alias("__part")).select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("at").alias("__at"), "__part")
-    return several.join(first, same_fp & (F.col("at") == F.col("__at"))).filter(F.col("part") != F.col("__part")).select("doc_id", "n_code", *FP).distinct()
+    first = written(first, "first-texts")
+    out = written(several.join(first, same_fp & (F.col("at") == F.col("__at"))).filter(F.col("part") != F.col("__part")).select("doc_id", "n_code", *FP).distinct(), "different")
+    discard(groups_table, several, first)
+    return out
 
 
 def deduplicate(docs: DataFrame, *, moduli: tuple[int, ...] = MODULI) -> DataFrame:
@@ -101,7 +104,7 @@ def deduplicate(docs: DataFrame, *, moduli: tuple[int, ...] = MODULI) -> DataFra
     """
     rows = _normal(docs, moduli).select("doc_id", "n_code", *FP, F.sha2("norm", 256).alias("text_sha256"))
     rows = written(rows, "fingerprints").groupBy("doc_id", "n_code", *FP, "text_sha256").agg(F.count("*").alias("m"))
-    other = written(_different(docs, rows, moduli), "different")
+    other = _different(docs, rows, moduli)
     rows = rows.withColumn("cls", F.lit(""))
     if not other.isEmpty():  # a collision: these rows are told apart by SHA-256
         by = ["doc_id", "n_code", *FP]
