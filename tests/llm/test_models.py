@@ -126,7 +126,7 @@ def test_held_out_languages(spark, sf):
 def test_odd_languages(odd, none):
     rows = language.identify(odd).collect()
     assert len(rows) == odd.count()
-    texts = Counter((r.doc_id, r.text is None or not re.search(r"[^\W\d_]", r.text)) for r in odd.collect())
+    texts = Counter((r.doc_id, r.text is None or not any(c.isalpha() for c in r.text)) for r in odd.collect())
     assert Counter((r.doc_id, r.lang_pred == "und") for r in rows) == texts
     assert all(0 <= r.score <= 1 for r in rows)
     assert language.identify(none).collect() == []
