@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as doc
+from ..operators import kv
 from ..operators import stores
 from ..streaming import events as ev
 from ..tables import load, run
@@ -103,7 +104,21 @@ def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tunnel_row_range", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 500")
 def tunnel_row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").offset(500).limit(100)
+    from ..sources.tunnel import download
+
+    return download(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 500, 100)
+
+
+@query("tunnel_upload", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20")
+def tunnel_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tunnel import Upload
+
+    e, n = engine(spark, sf_dir, "nation", "n_nationkey, n_name", "n_nationkey < 5"), load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    up = Upload(e.lake, "t")
+    for block, where in ((0, "n_nationkey BETWEEN 5 AND 9"), (1, "n_nationkey >= 10"), (1, "n_nationkey BETWEEN 10 AND 19"), (2, "n_nationkey > 19")):
+        up.send(block, n.filter(where))
+    up.commit([1, 0])
+    return e.sql("SELECT * FROM t")
 
 
 # ---- statistics
@@ -200,6 +215,33 @@ def kv_zrange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.zrange(e, 2, 6).select("key", "member", "rank")
 
 
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as hashes, their orders as lists and sorted sets, their statuses as sets, their names as strings."""
+    o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
+    key = lambda p, k: F.concat(F.lit(p), F.col(k))
+    out = kv.put(kv.empty(spark), kv.elements(c, "string", key("name:", "c_custkey"), F.col("c_name")), "string")
+    out = kv.put(out, kv.elements(c.select("c_custkey", F.explode(F.create_map(F.lit("seg"), "c_mktsegment", F.lit("bal"), F.col("c_acctbal").cast("string"))).alias("f", "v")), "hash", key("cust:", "c_custkey"), F.col("v"), field=F.col("f")), "hash")
+    out = kv.push(out, kv.elements(o, "list", key("orders:", "o_custkey"), F.col("o_orderkey"), pos=F.col("o_orderkey")))
+    return kv.put(out, kv.elements(o, "set", key("status:", "o_custkey"), F.col("o_orderstatus")), "set")
+
+
+@query("kv_sizes", """SELECT 'name:' || c_custkey AS key, 'string' AS kind, CAST(length(c_name) AS BIGINT) AS n FROM customer UNION ALL SELECT 'cust:' || c_custkey, 'hash', 2 FROM customer
+ UNION ALL SELECT 'orders:' || o_custkey, 'list', count(*) FROM orders GROUP BY o_custkey UNION ALL SELECT 'status:' || o_custkey, 'set', count(DISTINCT o_orderstatus) FROM orders GROUP BY o_custkey""")
+def kv_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.sizes(_store(spark, sf_dir))
+
+
+@query("kv_lrange", "SELECT 'orders:' || o_custkey AS key, CAST(rn - 1 AS INTEGER) AS index, CAST(o_orderkey AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) t WHERE rn - 1 >= n - 2")
+def kv_lrange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv.lrange(_store(spark, sf_dir), -2, -1)
+
+
+@query("kv_incr_rename", "SELECT CASE WHEN event_type = 'click' THEN 'clicks' ELSE event_type END AS key, CAST(2 * count(*) AS VARCHAR) AS value FROM events GROUP BY event_type")
+def kv_incr_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = load(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.lit(1).alias("n"))
+    return kv.rename(kv.incr(kv.incr(kv.empty(spark), by), by), "click", "clicks").select("key", "value")
+
+
 @query("kv_mget", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (1, 5, 7, 99999999)")
 def kv_mget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").filter(F.col("c_custkey").isin(1, 5, 7, 99999999)).select("c_custkey", "c_name")
