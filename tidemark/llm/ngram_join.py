@@ -277,13 +277,19 @@ def ties(docs: DataFrame, levels: list[tuple[int, int, int]], buckets: int, comm
     return dealt.mapInPandas(tie, "a long, b long").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node is tied to one smaller node only, to which nothing smaller is tied."""
+    center = edges.select(F.col("b").alias("__b")).distinct()
+    return edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").isEmpty() and edges.join(center, F.col("a") == F.col("__b"), "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """(node, label) for the nodes of ``edges`` (a, b): the label is the smallest node that can be reached.
 
-    Large-star and small-star steps by turns. Each is a minimum by key, and partial minima come before the shuffle, so a hub isn't a burden.
+    Large-star and small-star steps by turns, until stars are left. Each is a minimum by key, and partial minima come before the shuffle, so a hub isn't a burden.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    while not _are_stars(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("__a"), F.least("a", "m").alias("__m"))
         least = written(least, "least")  # a join of two plain shuffles, whose hubs Spark can split
@@ -294,11 +300,8 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         joined = large.join(low, F.col("a") == F.col("__a"))
         small = joined.select(F.col("b").alias("a"), F.col("__m").alias("b")).unionAll(joined.select("a", F.col("__m").alias("b"))).filter("a <> b").distinct()
         small = written(small, "small")
-        same = small.count() == edges.count() and small.exceptAll(edges).isEmpty()
         discard(edges, least, large, low)
         edges = small
-        if same:
-            break
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
@@ -515,8 +518,10 @@ def join(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, n: int = N,
     parts = parts.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "part").distinct()
     named = reps.join(parts, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left").select("h1", "h2", "rep", "part")
     least = named.filter("part is not null").groupBy("part").agg(F.min("rep").alias("least")).withColumnRenamed("part", "__part")
-    final = named.join(least, F.col("part") == F.col("__part"), "left").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.coalesce("least", "rep").alias("component_id"))
-    final = written(final, "components")
+    least = written(least, "least-ids")
+    alone = named.filter("part is null").withColumn("least", F.col("rep"))  # they need no join, in which all of them would meet
+    final = named.join(least, F.col("part") == F.col("__part")).select("h1", "h2", "least").unionAll(alone.select("h1", "h2", "least"))
+    final = written(final.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("least").alias("component_id")), "components")
     out = full.join(final, (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionAll(small.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
