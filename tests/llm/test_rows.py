@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -284,6 +285,24 @@ def test_fertility():
     assert [quality.script_of(t) for t in ("Straße", "привет мир x", "日本語", "123 !", "")] == ["latin", "cyrillic", "han", "none", "none"]
 
 
+def test_copies_do_not_narrow_the_bands(spark, documents):
+    """A text with a third of all rows, half of its kind, changes nothing for the others."""
+    rng = random.Random(8)
+    vocabulary = sorted({w for r in documents.filter("lang = 'en'").collect() for w in re.findall("[a-z]{2,}", r.text or "")}, key=lambda w: (len(w), w))
+
+    def text(n, i):
+        return " ".join(rng.choices(vocabulary[i : len(vocabulary) - 120 + i], k=n))
+
+    rows = [(k * 120 + i, text(n, i), "en") for k, n in enumerate((130, 500)) for i in range(120)]
+    schema = "doc_id long, text string, lang string"
+    without = {r.doc_id: r.kept for r in quality.rules(spark.createDataFrame(rows, schema)).collect()}
+    assert sum(without.values()) > 230
+    copies = [(1000 + i, rows[60][1], "en") for i in range(120)]
+    got = {r.doc_id: r.kept for r in quality.rules(spark.createDataFrame(rows + copies, schema)).collect()}
+    assert {i: got[i] for i in without} == without
+    assert all(got[i] == without[60] for i, _, _ in copies)
+
+
 # ---- 10
 
 

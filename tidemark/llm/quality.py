@@ -2,7 +2,7 @@
 
 A public vocabulary that wasn't made from this corpus measures a text: characters per token, the share of tokens that
 are single bytes for want of a piece, and the entropy of the tokens. Wide bands per script say what no text may exceed; within them
-the quartiles of the corpus, by language and length, say what is far from the texts of its kind.
+the quartiles of the corpus, by language and length and over its different texts, say what is far from the texts of its kind.
 """
 
 from __future__ import annotations
@@ -43,6 +43,9 @@ BANDS = {"latin": (1.3, 8.0, 0.2, 0.35), "greek": (0.5, 8.0, 0.6, 0.3), "cyrilli
 OTHER_BAND = (0.2, 8.0, 1.0, 0.25)
 #: A text is far off beyond so many deviations (estimated from the quartiles) from the median of its language and length; a kind needs so many texts.
 FAR, LEAST_TEXTS = 4.5, 50
+#: The least deviation that a kind of texts of one token would have, in characters per token, byte share and entropy; it falls with the root of the
+#: tokens, as the deviations of sf0.1 do. Its texts have no byte tokens, so that the second is set, and never under LEAST_BYTES.
+SPREAD, LEAST_BYTES = (0.8, 0.16, 2.0), 0.01
 
 
 class Pieces(dict):
@@ -124,7 +127,7 @@ METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def measure(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` (doc_id, text, kind) without its text, with the columns of METRICS."""
+    """``docs`` (doc_id, text, kind) with a hash in place of its text, and with the columns of METRICS."""
 
     @F.pandas_udf(METRICS)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -138,24 +141,27 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((*base, base[0] < 20 or 100 * base[4] > 30 * base[0], within(script, *own), script, *own))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in METRICS.split(", ")])
 
-    return docs.select("doc_id", "kind", of("text").alias("__r")).select("doc_id", "kind", "__r.*")
+    return docs.select("doc_id", "kind", F.xxhash64("text").alias("text_hash"), of("text").alias("__r")).select("doc_id", "kind", "text_hash", "__r.*")
 
 
 def rules(docs: DataFrame, *, path: str | None = None, lang_col: str | None = "lang", far: float = FAR) -> DataFrame:
     """Returns for each row of ``docs`` (doc_id, text, perhaps lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and script, n_tokens, chars_per_token, byte_share, entropy.
 
     A row is kept if the base rules, the bands of its script and those of its kind let it. A kind is a language (where that is null
-    or isn't known, the script) and a power of two of tokens; its bands come from all rows that pass the base rules, and with
-    fewer than LEAST_TEXTS of them it has none. A null or empty text has no words and fails the base rules. Repeated rows and null
+    or isn't known, the script) and a power of two of tokens; its bands come from all different texts that pass the base rules, however
+    many copies each has, and with fewer than LEAST_TEXTS of them it has none. A null or empty text has no words and fails the base rules. Repeated rows and null
     ids stay, other columns are ignored, no rows give no rows. ``path``: a vocabulary file that every executor has.
     """
     kind = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     rows = measure(docs.select("doc_id", "text", kind.alias("kind")), path or public_tokenizers.path(MODEL))
     rows = written(rows.withColumn("kind", F.coalesce("kind", F.concat(F.lit("*"), "script"))).withColumn("cls", F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))).cast("int")), "quality")
     names = ("chars_per_token", "byte_share", "entropy")
-    bands = rows.filter(~F.col("base_failed") & F.col("in_band")).groupBy("kind", "cls").agg(F.count("*").alias("__n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"__{c}") for c in names])
+    texts = rows.filter(~F.col("base_failed") & F.col("in_band")).select("kind", "cls", "text_hash", *names).distinct()  # equal texts measure the same
+    bands = texts.groupBy("kind", "cls").agg(F.count("*").alias("__n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"__{c}") for c in names])
     bands = written(bands.filter(F.col("__n") >= LEAST_TEXTS).withColumnsRenamed({"kind": "__kind", "cls": "__cls"}), "bands")  # its size is known to the join
-    off = {c: (F.col(c) - F.col(f"__{c}")[1]) / F.greatest((F.col(f"__{c}")[2] - F.col(f"__{c}")[0]) / 1.349, F.lit(least)) for c, least in zip(names, (0.01, 0.01, 0.05), strict=True)}
+    least = {c: F.lit(x) / F.sqrt(F.pow(F.lit(2.0), "cls")) for c, x in zip(names, SPREAD, strict=True)}
+    least["byte_share"] = F.greatest(least["byte_share"], F.lit(LEAST_BYTES))
+    off = {c: (F.col(c) - F.col(f"__{c}")[1]) / F.greatest((F.col(f"__{c}")[2] - F.col(f"__{c}")[0]) / 1.349, least[c]) for c in names}
     usual = (F.abs(off["chars_per_token"]) <= far) & (off["byte_share"] <= far) & (off["entropy"] >= -far)
     out = rows.join(bands, (F.col("kind") == F.col("__kind")) & (F.col("cls") == F.col("__cls")), "left")
     kept = ~F.col("base_failed") & F.col("in_band") & F.coalesce(usual, F.lit(True))
