@@ -179,3 +179,23 @@ def test_odd_rows_go_through_the_pipeline(spark, sf, odd, none):
     assert docs.count() == 0
 
 
+def test_rows_without_an_id_of_their_own_go_through_the_pipeline(spark, sf):
+    """Null and shared ids: of different texts all rows stay, of equal or near ones just that which the operator keeps."""
+    import random
+
+    from conftest import words
+
+    rng = random.Random(5)
+    texts = [words(rng, 60) for _ in range(9)]
+    schema = "doc_id long, text string, source string"
+    run = lambda stage, rows: sorted((tuple(r) for r in stage(spark, spark.createDataFrame(rows, schema).repartition(3), sf).collect()), key=repr)
+    stay = [(1, texts[0] + " b", "a"), (3, "z" + texts[1], "a"), (None, texts[2], "a"), (None, texts[3], "b"), (None, texts[4], None), (5, texts[5], "a"), (5, texts[6], "b"), (5, texts[7], "b"), (6, texts[8], "b")]
+    same = [(3, texts[0] + "b", "a"), (5, texts[0] + "b", "a"), (None, texts[0] + "b", "a"), (None, texts[3], "b"), (5, texts[5], "a"), (None, texts[8], "b")]
+    assert run(corpus_pipeline.exact, stay + same) == sorted(stay, key=repr)
+    near = [(3, texts[0] + " c", "a"), (5, texts[0] + " d", "a"), (None, texts[0] + " e", "a"), (None, texts[8] + " c", "b")]
+    assert run(corpus_pipeline.near, stay + near) == sorted(stay, key=repr)
+    either = [(None, texts[2] + " c", "a"), (5, texts[6] + " c", "b")]
+    got = run(corpus_pipeline.near, stay + near + either)
+    assert sorted(((i, t.removesuffix(" c"), s) for i, t, s in got), key=repr) == sorted(stay, key=repr)
+    blank = [(None, None, "a"), (None, "", "a"), (2, " ", "b"), (2, None, "b")]
+    assert run(corpus_pipeline.near, blank) == sorted(blank, key=repr)
