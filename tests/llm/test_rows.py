@@ -170,19 +170,42 @@ def test_repeats(request, which, length, gram, shard):
     assert by_id(map(tuple, suffix_dedup.cleaned(df, length=length, gram=gram, shard=shard).collect())) == by_id(want)
 
 
-def test_names_with_many_segments(odd, monkeypatch):
+@pytest.mark.parametrize("which", ["sf0.01", "odd"])
+def test_the_query_for_repeats(request, spark, which):
+    """Every row of a table of 1000, and what shorter passages repeat."""
+    df = request.getfixturevalue("odd") if which == "odd" else spark.read.parquet(f"/root/testdata/{which}/documents.parquet")
+    rows = table(df)
+    texts = [(t or "").encode() for _, t, _ in rows]
+    long, short = (list(plain_removed(texts, n)) for n in (400, suffix_dedup.PASSAGE))
+    want = [(i, len(t), *x, y[0]) for (i, _, _), t, x, y in zip(rows, texts, long, short, strict=True)]
+    assert by_id(map(tuple, suffix_dedup.cleaned(df, passage=suffix_dedup.PASSAGE).collect())) == by_id(want)
+    if which != "odd":
+        assert sum(x[0] > 0 for x in long) > 50
+        assert sum(x[0] > y[0] for x, y in zip(short, long, strict=True)) > 20
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_names_with_many_segments(odd, monkeypatch, bits):
+    """With hashes of two bits nearly all strings collide."""
     monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    monkeypatch.setattr(suffix_dedup, "HASH_BITS", bits)
     rows = table(odd)
     texts = [(t or "").encode() for _, t, _ in rows]
     want = [(i, len(t), *x) for (i, _, _), t, x in zip(rows, texts, plain_removed(texts, 60), strict=True)]
     assert by_id(map(tuple, suffix_dedup.cleaned(odd, length=60, gram=16, shard=900).collect())) == by_id(want)
 
 
+@pytest.mark.parametrize("bucket", [0, 64, 1 << 40])
 @pytest.mark.parametrize("symbols", [2, 3, 200])
-def test_suffix_arrays(symbols):
+def test_suffix_arrays(symbols, bucket, monkeypatch):
+    """``bucket``: buckets are always induced one by one, by their size, and always in batches, here small ones."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 3)
     rng = np.random.default_rng(symbols)
     for n in [0, 1, 2, 3, *rng.integers(4, 90, 120)]:
         t = rng.integers(0, symbols, n).astype(np.uint8)
+        if n > 60:
+            t[n // 3 : n // 3 + 40] = [1, 0] * 20
         data = t.tobytes()
         sa = suffix_dedup.suffix_array(t)
         assert sa.tolist() == sorted(range(n), key=lambda i: data[i:])

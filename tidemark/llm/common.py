@@ -49,32 +49,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (as in tests) one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset (as in tests) one of our own, which a cluster's executors wouldn't see."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it is computed once, and a lost executor costs no recomputation."""
+    """``df`` as a table in the shared folder: it is computed once, and a lost executor costs no recomputation.
+
+    What ``discard`` doesn't remove, as a result may still need it, goes at the end of the application.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _fs(spark, path)[0].deleteOnExit(_fs(spark, path)[1])
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables of ``written`` that nothing will read again, and lets Spark find the shuffles that nothing refers to."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _fs(df.sparkSession, df._written_at)
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
     gc.collect()
     tables[0].sparkSession._jvm.System.gc()
 

@@ -3,7 +3,7 @@
 Every 400-byte string is named after its minimiser, the k-gram with the least hash, so equal strings have one name wherever
 they stand. Neighbouring strings mostly share a minimiser, and together form a segment. Only segments whose name occurs
 twice can repeat; alike ones are merged, and the rest is dealt by name into shards. A shard's suffix array comes from
-induced sorting, its permuted common prefixes from that, and each run of prefixes of 400 bytes or more is
+induced sorting at every level, its permuted common prefixes from that, and each run of prefixes of 400 bytes or more is
 a string that stands in several places. No string belongs to two segments, so a place is never held against itself.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,16 @@ GRAM = 64
 AT_ONCE = 1 << 20
 #: Bytes of a shard, about. A name's segments stay together.
 SHARD = 2 << 20
-#: Shards' worth of different segments that a name has at most in a suffix array; strings of a name with more are counted one by one, by hash.
+#: Shards' worth of different segments that a name has at most in a suffix array; strings of a name with more are counted one by one.
 HOT = 8
+#: Of each of the two hashes by which those are counted first.
+HASH_BITS = 64
 #: Not a byte of UTF-8.
 SEPARATOR = 0xFF
-#: Up to so many symbols a string is sorted by induction; beyond that its buckets are too small for vector steps.
-SYMBOLS = 2048
+#: Buckets of so many suffixes, on average, are induced one by one, smaller ones in batches of so many suffixes at least and in so many rounds.
+BUCKET, BATCH, ROUNDS = 64, 2048, 4
+#: Bytes of a passage of some 50 words, which is reported but not removed.
+PASSAGE, PASSAGE_GRAM = 240, 40
 
 
 # ---- suffix arrays
@@ -52,6 +57,8 @@ def _induced(t: np.ndarray, small: np.ndarray, start: np.ndarray, lms: np.ndarra
     A bucket is worked on in waves: what its suffixes induce into itself is the next wave.
     """
     n, k = len(t), len(start) - 1
+    if n < BUCKET * k:
+        return _induced_in_batches(t, small, start, lms)
     sa = np.full(n, -1, np.int64)
     head, n_large = start[:-1].copy(), np.bincount(t[~small], minlength=k)
     middle = start[:-1] + n_large
@@ -116,29 +123,78 @@ def _induced(t: np.ndarray, small: np.ndarray, start: np.ndarray, lms: np.ndarra
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """The suffix array by ranks of prefixes of doubling length, for reduced strings of many symbols."""
-    n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64) + 1
-    span = 1
-    while True:
-        most = int(rank.max())
-        if most == n:
-            sa = np.empty(n, np.int64)
-            sa[rank - 1] = np.arange(n)
-            return sa
-        key, joined = rank, 1
-        while joined == 1 or joined < 4 and most ** (joined + 1) < 1 << 62:  # as many ranks side by side as a key holds
-            more = np.zeros(n, np.int64)
-            if joined * span < n:
-                more[: n - joined * span] = rank[joined * span :]
-            key, joined = key * (most + 1) + more, joined + 1
-            if (most + 1) ** (joined + 1) >= 1 << 63:
-                break
-        sa = np.argsort(key)
-        key = key[sa]
-        rank[sa] = np.cumsum(np.concatenate([[1], key[1:] != key[:-1]]))
-        span *= joined
+def _induced_in_batches(t: np.ndarray, small: np.ndarray, start: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same for strings of many symbols, such as reduced ones, whose buckets hold a few suffixes each.
+
+    Neighbouring buckets are one batch. What it induces into itself is put there in the order in which it is found, again until that order
+    doesn't change; each round settles the first place that was wrong, and mostly far more. A batch that takes more than a few rounds (of
+    periodic text) is gone through suffix by suffix. Then the other buckets get their part.
+    """
+    n, k = len(t), len(start) - 1
+    by = t[lms]
+    order = np.argsort(by, kind="stable")
+    sizes = np.bincount(by, minlength=k)
+    sa = np.full(n, -1, np.int64)
+    sa[(start[1:] - np.cumsum(sizes))[by[order]] + np.arange(len(lms))] = lms[order]
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, n, max(BATCH, n // 32)), "right") - 1, k))
+    batches = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def put(j: np.ndarray, edge: np.ndarray, way: int) -> None:
+        """In order, to the heads of their buckets (way 1) or to their tails (way -1)."""
+        c = t[j]
+        order = np.argsort(c, kind="stable")
+        c = c[order]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        sizes = np.diff(np.append(first, len(c)))
+        sa[np.repeat(edge[c[first]] - (way < 0) - way * first, sizes) + way * np.arange(len(c))] = j[order]
+        edge[c[first]] += way * sizes
+
+    def one_by_one(a: int, b: int, own: np.ndarray, way: int) -> None:
+        """What the batch induces into itself."""
+        low = int(start[a])
+        x, at = sa[low : start[b]].tolist(), (own - low - (way < 0)).tolist()
+        side = before_of(way)
+        for i in x if way > 0 else reversed(x):  # which grow ahead of the loop
+            c = side[i]
+            if a <= c < b:
+                x[at[c - a]] = i - 1
+                at[c - a] += way
+        sa[low : start[b]] = x
+        edge[a:b] = np.array(at) + low + (way < 0)
+
+    @cache
+    def before_of(way: int) -> list[int]:
+        """The symbol to the left of each place where it is induced this way; place -1, of what isn't there yet, is the last."""
+        return np.concatenate([[-1], np.where(small[:-1] == (way < 0), t[:-1].astype(np.int64), -1), [-1]]).tolist()
+
+    head, tail = start[:-1].copy(), start[1:].copy()
+    put(np.array([n - 1]), head, 1)
+    for way, edge in ((1, head), (-1, tail)):
+        if way < 0:
+            sa[(sa >= 0) & small[sa]] = -1
+        for a, b in batches[::way]:
+            own, before = edge[a:b].copy(), None
+            for left in range(ROUNDS, -1, -1):
+                x = sa[start[a] : start[b]][::way]
+                j = x[x > 0] - 1
+                j = j[small[j] == (way < 0)]
+                inside = (t[j] >= a) & (t[j] < b)
+                again = j[inside]
+                if not len(again) or before is not None and np.array_equal(again, before):
+                    break
+                if left == 0:
+                    one_by_one(a, b, own, way)
+                    x = sa[start[a] : start[b]][::way]
+                    j = x[x > 0] - 1
+                    j = j[small[j] == (way < 0)]
+                    inside = (t[j] >= a) & (t[j] < b)
+                    break
+                edge[a:b] = own
+                put(again, edge, way)
+                before = again
+            if not inside.all():
+                put(j[~inside], edge, way)
+    return sa
 
 
 def _equal_substrings(t: np.ndarray, small_lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -162,8 +218,6 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         return np.arange(n)
     t = t if t.dtype == np.uint8 else t.astype(np.int64)
     k = int(t.max()) + 1
-    if k > SYMBOLS:
-        return _doubled(t)
     small = _types(t)
     start = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=k))])
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
@@ -330,22 +384,36 @@ def _other(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"__{c}" for c in names})
 
 
-def _counted_strings(parts: DataFrame, length: int) -> DataFrame:
+def _counted_strings(parts: DataFrame, length: int, bits: int) -> DataFrame:
     """(name, h1, h2, runs) for segments of names that have too many for a suffix array.
 
-    Each string goes by its hash, so that no name's strings meet in one task and equal ones are added up before the shuffle.
+    Each string goes by its hash (two of ``bits`` each) first, so that no name's strings meet in one task and equal ones are added up before the shuffle. What
+    is found twice then goes by its bytes, so that a collision can't remove anything.
     """
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, h1, h2, times, part in zip(batch["name"], batch["h1"], batch["h2"], batch["times"], batch["part"], strict=True):
                 w1, w2 = string_hashes(bytes(part), length)
-                yield pd.DataFrame({"name": name, "h1": h1, "h2": h2, "times": times, "at": np.arange(len(w1)), "w1": w1, "w2": w2})
+                yield pd.DataFrame({"name": name, "h1": h1, "h2": h2, "times": times, "at": np.arange(len(w1)), "w1": w1 >> 64 - bits, "w2": w2 >> 64 - bits})
 
-    each = parts.select("name", "h1", "h2", "times", "part").mapInPandas(strings, "name long, h1 long, h2 long, times int, at long, w1 long, w2 long")
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, h1, h2, times, part, own in zip(batch["name"], batch["h1"], batch["h2"], batch["times"], batch["part"], batch["own"], strict=True):
+                data = bytes(part)
+                yield pd.DataFrame({"name": name, "h1": h1, "h2": h2, "times": times, "at": own, "string": [data[a : a + length] for a in own]})
+
+    one = parts.groupBy("name", "h1", "h2").agg(F.sum("times").alias("times"), F.first("part").alias("part"))
+    one = written(one, "hot-segments")
+    each = one.mapInPandas(strings, "name long, h1 long, h2 long, times long, at long, w1 long, w2 long")
     twice = written(each.groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1").select(F.col("w1").alias("__w1"), F.col("w2").alias("__w2")), "twice")
-    found = each.join(twice, _same("w1", "w2")).groupBy("name", "h1", "h2").agg(F.collect_set("at").alias("at"))
-    return found.select("name", "h1", "h2", F.transform("at", lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("runs"))
+    at = each.join(twice, _same("w1", "w2"), "left_semi").groupBy("name", "h1", "h2").agg(F.collect_set("at").alias("own"))
+    held = written(one.join(_other(at, "name", "h1", "h2"), _same("name", "h1", "h2")).select("name", "h1", "h2", "times", "part", "own").mapInPandas(cut, "name long, h1 long, h2 long, times long, at long, string binary"), "hot-strings")
+    alike = written(held.groupBy("string").agg(F.sum("times").alias("n")).filter("n > 1").select(F.col("string").alias("__string")), "hot-repeats")
+    found = held.join(alike, _same("string"), "left_semi").groupBy("name", "h1", "h2").agg(F.collect_set("at").alias("at"))
+    out = written(found.select("name", "h1", "h2", F.transform("at", lambda x: F.struct(x.alias("a"), x.alias("b"))).alias("runs")), "hot-hits")
+    discard(one, twice, held, alike)
+    return out
 
 
 def _verdicts(docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
@@ -385,7 +453,7 @@ def _verdicts(docs: DataFrame, length: int, gram: int, shard: int) -> DataFrame:
     hot = written(parts.groupBy("name").agg(F.sum("size").alias("size")).filter(F.col("size") > HOT * shard).select(F.col("name").alias("__name")), "hot-names")
     many = None
     if not hot.isEmpty():
-        many = _counted_strings(parts.join(hot, F.col("name") == F.col("__name"), "left_semi"), length)
+        many = _counted_strings(parts.join(hot, F.col("name") == F.col("__name"), "left_semi"), length, HASH_BITS)
         parts = parts.join(hot, F.col("name") == F.col("__name"), "left_anti")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -422,35 +490,50 @@ def removed(size: int, runs: list, length: int = LENGTH) -> list[tuple[int, int]
     return [(a, min(b, size)) for a, b in out]
 
 
-def cleaned(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, spans: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, passage: int = 0, passage_gram: int = PASSAGE_GRAM, spans: bool = False) -> DataFrame:
     """Removes from each text of ``docs`` (doc_id, text), as UTF-8, every byte that a string of ``length`` bytes covers which also starts elsewhere.
 
     Returns for each row doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes left, joined), and
-    with ``spans`` the runs themselves as [start, end). Strings never cross rows; those that overlap count; all are judged on the input.
+    with ``spans`` the runs themselves as [start, end). With a shorter ``passage`` n_passage is how many bytes repeated strings of that
+    length cover, which are only reported. Strings never cross rows; those that overlap count; all are judged on the input.
     Repeated rows are texts of their own and thus remove each other. A null text counts as empty. Ids may be null or stand
     for several texts; other columns are ignored; no rows give no rows.
     """
+    if passage and not passage_gram <= passage <= length:
+        raise ValueError(f"a passage has {passage_gram} to {length} bytes")
     key = [F.xxhash64(F.lit(5), "doc_id", "text").alias("k1"), F.xxhash64(F.lit(55), "text", "doc_id").alias("k2")]
-    rows = docs.select("doc_id", "text", *key)
-    runs = _verdicts(rows.select("k1", "k2", "text"), length, gram, shard)
+    rows = texts = docs.select("doc_id", "text", *key)
+    short = None
+    if passage:
+        short = _verdicts(rows.select("k1", "k2", "text"), passage, passage_gram, shard)
+        # What repeats over ``length`` bytes has a run of so many shorter strings that do, in each of its places.
+        long = short.filter(F.exists("runs", lambda x: x["b"] - x["a"] >= length - passage)).select("k1", "k2")
+        texts = rows.join(_other(long, "k1", "k2"), _same("k1", "k2"), "left_semi")
+    runs = _verdicts(texts.select("k1", "k2", "text"), length, gram, shard)
+    if passage:
+        both = _other(runs, "k1", "k2").withColumnRenamed("runs", "__long")
+        runs = short.join(both, _same("k1", "k2"), "left").select("k1", "k2", F.col("runs").alias("short"), F.col("__long").alias("runs"))
+    else:
+        runs = runs.withColumn("short", F.lit(None).cast("array<struct<a:long,b:long>>"))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for data, own in zip(_utf8(batch["text"]), batch["runs"], strict=True):
+            for data, own, other in zip(_utf8(batch["text"]), batch["runs"], batch["short"], strict=True):
                 gone = removed(len(data), own, length) if own is not None else []
+                told = removed(len(data), other, passage) if other is not None else []
                 kept, at = hashlib.sha256(), 0
                 for a, b in gone:
                     kept.update(data[at:a])
                     at = b
                 kept.update(data[at:])
-                out.append((len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), [{"start": a, "end": b} for a, b in gone]))
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())
+                out.append((len(data), sum(b - a for a, b in gone), len(gone), kept.hexdigest(), sum(b - a for a, b in told), [{"start": a, "end": b} for a, b in gone]))
+            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", "spans"]).assign(doc_id=batch["doc_id"].astype("Int64").to_numpy())
 
-    out = rows.join(_other(runs, "k1", "k2"), _same("k1", "k2"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
-    out = out.mapInPandas(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
-    return out if spans else out.drop("spans")
+    out = rows.join(_other(runs, "k1", "k2"), _same("k1", "k2"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs", "short")
+    out = out.mapInPandas(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long, spans array<struct<start:long,end:long>>")
+    return out.drop(*([] if spans else ["spans"]), *([] if passage else ["n_passage"]))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaned(table(spark, sf_dir, "documents"))
+    return cleaned(table(spark, sf_dir, "documents"), passage=PASSAGE)
