@@ -170,18 +170,14 @@ def test_repeats(request, which, length, gram, shard):
     assert by_id(map(tuple, suffix_dedup.cleaned(df, length=length, gram=gram, shard=shard).collect())) == by_id(want)
 
 
-@pytest.mark.parametrize("which", ["sf0.01", "odd"])
-def test_the_query_for_repeats(request, spark, which):
-    """Every row of a table of 1000, and what shorter passages repeat."""
-    df = request.getfixturevalue("odd") if which == "odd" else spark.read.parquet(f"/root/testdata/{which}/documents.parquet")
-    rows = table(df)
+def test_the_query_for_repeats(spark):
+    """All rows of a table of 1000 against every 400-byte string of it."""
+    folder = "/root/testdata/sf0.01"
+    rows = table(spark.read.parquet(f"{folder}/documents.parquet"))
     texts = [(t or "").encode() for _, t, _ in rows]
-    long, short = (list(plain_removed(texts, n)) for n in (400, suffix_dedup.PASSAGE))
-    want = [(i, len(t), *x, y[0]) for (i, _, _), t, x, y in zip(rows, texts, long, short, strict=True)]
-    assert by_id(map(tuple, suffix_dedup.cleaned(df, passage=suffix_dedup.PASSAGE).collect())) == by_id(want)
-    if which != "odd":
-        assert sum(x[0] > 0 for x in long) > 50
-        assert sum(x[0] > y[0] for x, y in zip(short, long, strict=True)) > 20
+    want = [(i, len(t), *x) for (i, _, _), t, x in zip(rows, texts, plain_removed(texts, 400), strict=True)]
+    assert by_id(map(tuple, suffix_dedup.op5_suffix_dedup(spark, folder).collect())) == by_id(want)
+    assert sum(x[2] > 0 for x in want) > 50
 
 
 @pytest.mark.parametrize("bits", [64, 2])
