@@ -68,6 +68,30 @@ def test_parsing():
     assert runs("") == runs("<") [:0] == []
     assert runs("<textarea>no</textarea><select><option>no</select><p hidden>no</p><p>yes") == ["yes"]
     assert runs("<div>" * 3000 + "deep") == ["deep"]
+    assert runs('<h1 class="hidden md:block">a</h1><p title="The hidden cost of sleep">b</p><p data-x=hidden>c</p>') == ["a", "b", "c"]
+    assert runs("<p hidden=''>no</p><p aria-hidden=true>no</p><p style='color:red; display: none'>no</p><p HIDDEN>no</p><p>a") == ["a"]
+
+
+#: Written by hand in layouts that neither the data nor the made pages have: what is marked [[so]] is the article.
+BY_HAND = [
+    """<!doctype html><html><head><title>T</title></head><body><table width=100%><tr><td colspan=2><a href=/>Home</a> | <a href=/n>News</a> | <a href=/s>Sports</a></td></tr>
+    <tr><td class=left><b>Links</b><br><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td><td class=content><h1>[[Bridge over the river opens after ten years]]</h1>
+    <p>[[The new bridge was opened on Monday, ten years after the first stone was laid, and the mayor spoke of a long road.]]</p>
+    <p>[[Traffic had been sent through the old town until now, where people had complained about the noise, the dust and the delays.]]</p></td></tr>
+    <tr><td colspan=2 class=footer><small>Copyright 2003</small></td></tr></table></body></html>""",
+    """<body><div id="page"><div id="masthead"><a href="/">The Daily</a></div><ul class="menu"><li><a href="a">World</a></li><li><a href="b">Business</a></li></ul>
+    <div class="post-content"><h2>[[How bread rises]]</h2><p>[[Yeast eats the sugar in the dough and gives off gas, which the gluten holds, so that the loaf grows.]]</p>
+    <ul><li>[[Warm water helps the yeast, but hot water kills it, so it should be as warm as your hand.]]</li><li>[[Salt slows it down, and so it is added last, after the flour has been mixed in.]]</li></ul>
+    <blockquote>[[A good loaf needs time more than it needs anything else, as my grandmother used to say.]]</blockquote></div>
+    <div class="comments"><h3>Comments</h3><p>Great post, thank you so much for sharing this!</p></div><div id="footer"><p>All rights reserved.</p></div></div></body>""",
+]
+
+
+def test_pages_written_by_hand(model):
+    for page in BY_HAND:
+        want = {" ".join(x.split()) for x in re.findall(r"\[\[(.*?)\]\]", page, re.S)}
+        got = {x for x in model.texts([page.replace("[[", "").replace("]]", "")])[0].split("\n\n") if x}
+        assert got == want
 
 
 def test_odd_pages(spark):
@@ -103,6 +127,44 @@ def test_the_offending_sentence():
     assert abs(model.score(texts[1]) - (1 - one)) < 1e-9
 
 
+def test_training_sees_whole_texts(spark):
+    """The offending sentence of each toxic text stands behind its first 41,000 characters."""
+    calm = ("a fine day with tea and cake by the river " * 82 + ". ") * 12
+    assert len(calm) > 41_000
+    rows = [(i, calm + ("you are vile." if i % 2 else "you are kind.")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity.detect(docs, marks).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.held_out)
+    few = toxicity.fit(docs, marks, chars=100_000)  # two whole texts
+    assert isinstance(few, toxicity.ToxicityModel)
+
+
+def plain_score(model, text):
+    """Noisy-or of the sentences, each a sum over the features of its words, one by one."""
+    clean = 1.0
+    for s in re.split(r"[.!?\n]+", (text or "").lower()):
+        if s:
+            z = model.bias
+            for w in re.findall(r"[^\W\d_]+", s):
+                whole = f"^{w}$"
+                parts = {whole} | {whole[i : i + n] for n in (4, 5, 6, 7) for i in range(len(whole) - n + 1)}
+                z += sum(model.learned.get(x, 0.0) for x in parts)
+            clean *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - clean
+
+
+def test_scores_against_a_plain_version(spark, sf, documents):
+    labels = spark.read.parquet(f"{sf[:-5]}0.01/labels.parquet")
+    train = spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet")
+    held = language.fold(train.doc_id, 5) == 0
+    model = toxicity.fit(train.filter(~held), labels)
+    assert model.learned
+    want = Counter((r.doc_id, round(plain_score(model, r.text), 6)) for r in train.limit(200).collect())
+    got = Counter((r.doc_id, round(model.score(r.text), 6)) for r in train.limit(200).collect())
+    assert got == want
+
+
 def test_odd_toxicity(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(25)] + [(3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     rows = toxicity.detect(odd, labels, spans=True).collect()
@@ -123,6 +185,57 @@ def test_held_out_languages(spark, sf):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.98
 
 
+def plain_buckets(text):
+    """Each n-gram of the lower-case text by the hash's definition, one by one."""
+    codes, mask = [ord(c) for c in text.lower()], (1 << 64) - 1
+    for i in range(len(codes)):
+        h = 0
+        for k, n in enumerate(language.ORDERS):
+            if i + n > len(codes):
+                break
+            h = (h ^ codes[i + n - 1]) * language.MIX[k] & mask
+            h ^= h >> 29
+            yield (h * language.MIX[-1 - k] & mask) >> 49
+
+
+def test_against_a_plain_naive_bayes(spark):
+    """Counts, probabilities and predictions of all rows of a table of 200, without samples or matrices."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    seen, prior = {}, Counter()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.text is not None and r.lang is not None:
+            prior[r.lang] += 1
+            seen.setdefault(r.lang, set()).add(r.text)
+    counts = {k: Counter(b for t in ts for b in plain_buckets(t)) for k, ts in seen.items()}
+    sums = {k: sum(c.values()) + 0.5 * language.BUCKETS for k, c in counts.items()}
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    for r in rows[:60]:
+        grams = Counter(plain_buckets(r.text or ""))
+        z = {k: np.log(prior[k] / prior.total()) + sum(n * np.log((counts[k][b] + 0.5) / sums[k]) for b, n in grams.items()) for k in seen}
+        best = max(z, key=z.get)
+        if any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == best
+            assert abs(got[r.doc_id].score - 1 / sum(np.exp(x - z[best]) for x in z.values())) < 1e-3
+
+
+def test_three_hundred_languages(spark):
+    """All are learned, rare ones too, and copies of one text don't push out the others of its language."""
+    rows = [(i, chr(0x4E00 + 7 * i) * 30 + f" {chr(0x4E01 + 7 * i)}" * 5, f"l{i:03d}") for i in range(300)]
+    rows += [(1000 + k, rows[0][1], "l000") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, rows_a_language=20)
+    assert len(model.langs) == 300
+    assert model.scored([t for _, t, _ in rows[:300]])[0] == [k for _, _, k in rows[:300]]
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(docs)
+
+
 def test_odd_languages(odd, none):
     rows = language.identify(odd).collect()
     assert len(rows) == odd.count()

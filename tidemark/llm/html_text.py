@@ -31,7 +31,18 @@ CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("d
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|</>", re.S)
 NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
-SKIPPED = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"'>]+)))?""")
+INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
+PERHAPS_HIDDEN = re.compile(r"hidden|display", re.I)
+
+
+def is_hidden(attributes: str) -> bool:
+    """Whether a start tag says so by ``hidden``, ``aria-hidden`` or its style; names and values are told apart."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and INVISIBLE.search(value):
+            return True
+    return False
 
 
 @dataclass
@@ -124,7 +135,7 @@ def parse(page: str | None) -> list[Node]:
                 continue
         if m[3].endswith("/") and tag not in BLOCKS:
             continue
-        if tag in HIDDEN or SKIPPED.search(m[3]):
+        if tag in HIDDEN or PERHAPS_HIDDEN.search(m[3]) and is_hidden(m[3]):
             stack.append((tag, -2))
             skip += 1
         elif tag in BLOCKS and tag not in ("html", "body"):

@@ -130,10 +130,27 @@ class _Page:
         after = [self.boilerplate(k) for k in ("aside", "comments", "form", "share", "ad", "footer") if r.random() < 0.45]
         if r.random() < 0.2:
             body = f"<div class=row>{body}{self.boilerplate('aside')}</div>"
+        if r.random() < 0.15:
+            return f"<html><head><title>{self.words(4)}</title></head><body>{self.in_table(''.join(blocks))}</body></html>", self.content
         return f"<!DOCTYPE html><html><head><title>{self.words(4)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>", self.content
 
 
-def labelled_pages(n: int = 400, seed: int = 2) -> list[tuple[str, set[str]]]:
+    def in_table(self, blocks: str) -> str:
+        """An old way of laying pages out: menus, article and footer are cells."""
+        r = self.rng
+        top = r.choice([" | ", " - ", " ", "<br>"]).join(self.link(1, 3) for _ in range(r.randint(2, 8)))
+        head = r.choice(["", f"<b>{self.sentence(1, 3, False)}</b><br>", f"<h3>{self.sentence(1, 3, False)}</h3>"])
+        side = head + "<br>".join(self.link(1, 4) for _ in range(r.randint(2, 9)))
+        foot = r.choice([f"<small>&copy; {r.randint(1995, 2020)} {self.sentence(1, 6, False)}</small>", f"{self.sentence(1, 5, False)} {r.randint(1995, 2020)}", f"<p>{self.sentence(2, 9)}</p>"])
+        main = r.choice(["", "", f" class={r.choice(MAIN).split()[0]}", " valign=top"])
+        cells = [f"<td{r.choice(['', ' class=left', ' class=menu', ' width=150'])}>{side}</td>", f"<td{main}>{blocks}</td>"]
+        if r.random() < 0.3:
+            cells.reverse()
+        rows = [f"<tr><td colspan=2{r.choice(['', self.named('header')])}>{top}</td></tr>" if r.random() < 0.8 else "", f"<tr>{''.join(cells)}</tr>", f"<tr><td colspan=2{r.choice([' class=footer', ' class=copyright', self.named('footer')])}>{foot}</td></tr>" if r.random() < 0.8 else ""]
+        return f"<table width=100%>{''.join(rows)}</table>"
+
+
+def labelled_pages(n: int = 500, seed: int = 2) -> list[tuple[str, set[str]]]:
     """(html, texts of its content runs)."""
     rng = random.Random(seed)
     return [_Page(rng).whole() for _ in range(n)]

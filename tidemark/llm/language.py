@@ -15,12 +15,14 @@ from .common import fold, pieces, table
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
-#: Rows of each language that are learned from, about; the rows with the smallest hashes.
+#: Different texts of each language that are learned from, about, those with the smallest hashes; of a language with no more, all.
 ROWS_A_LANGUAGE = 4000
-#: Languages that a model has at most, the most frequent ones.
-LANGUAGES = 256
+#: Languages that a model can have: 128 KiB each, wherever it is broadcast. With more there is an error, for none is left out.
+LANGUAGES = 1024
 #: Characters that are worked on at once, so that a task's memory is bounded.
 AT_ONCE = 400_000
+#: Log probabilities that are added up at once, and languages that are counted at once.
+NUMBERS, COUNTED = 1 << 25, 256
 LETTER = regex.compile(r"\p{L}")
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -46,14 +48,21 @@ def _features(block: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[str, np.ndarray] = {}
+
+    def told() -> Iterator[pd.DataFrame]:
+        for lang, have in total.items():
+            at = np.flatnonzero(have[:BUCKETS])
+            yield pd.DataFrame({"lang": lang, "bucket": at, "n": have[at]})
+        total.clear()
+
     for batch in batches:
         for lang, rows in batch.groupby("lang"):
+            if len(total) >= COUNTED:
+                yield from told()
             have = total.setdefault(str(lang), np.zeros(BUCKETS + 1, np.int64))
             for block in pieces(rows["text"].tolist(), AT_ONCE, max(ORDERS) - 1):
                 have += np.bincount(_features(block)[0].ravel(), minlength=BUCKETS + 1)
-    for lang, have in total.items():
-        at = np.flatnonzero(have[:BUCKETS])
-        yield pd.DataFrame({"lang": lang, "bucket": at, "n": have[at]})
+    yield from told()
 
 
 @dataclass
@@ -67,7 +76,7 @@ class LanguageModel:
     def scored(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Each text's language and the model's probability of it; ``und`` with 0 for a null or a text without letters."""
         sums = np.zeros((len(texts), len(self.langs))) + self.log_prior
-        for block in pieces(texts, AT_ONCE, max(ORDERS) - 1):
+        for block in pieces(texts, min(AT_ONCE, NUMBERS // max(1, len(self.langs))), max(ORDERS) - 1):
             buckets, first, rows = _features(block)
             full = np.flatnonzero(np.diff(np.append(first, buckets.shape[1])))
             if not len(full):
@@ -85,14 +94,23 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, *, rows_a_language: int = ROWS_A_LANGUAGE, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learns from rows with a text and a language: all of a language, or about ``rows_a_language`` of them, those with the smallest hashes of the text. Which rows may be learned from is the caller's choice."""
+    """Learns from the different texts that have a language: all of a language, or about ``rows_a_language`` of them, those with the smallest hashes.
+
+    A text counts once for a language however many copies it has; how likely a language is at first follows from all rows. Which rows may be
+    learned from is the caller's choice. More than LANGUAGES languages are an error.
+    """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    rows = rows.withColumn("key", F.xxhash64(F.lit(9), "text"))
+    copies = rows.groupBy("lang", "key").agg(F.count("*").alias("n"))
+    found = copies.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} languages")
+    n, texts = ({r["lang"]: r[c] for r in found} for c in ("n", "texts"))
     langs = sorted(n)
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
-    share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows_a_language / n[k])))]), F.col("lang"))
-    sample = rows.filter((F.shiftrightunsigned(F.xxhash64(F.lit(9), "text"), 11) / float(1 << 53)) < share)
+    share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows_a_language / texts[k])))]), F.col("lang"))
+    sample = rows.filter((F.shiftrightunsigned("key", 11) / float(1 << 53)) < share).dropDuplicates(["lang", "key"])
     counts = sample.mapInPandas(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     have = np.zeros((BUCKETS + 1, len(langs)))
     if len(counts):

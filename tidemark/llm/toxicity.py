@@ -9,21 +9,22 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, table
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Labelled documents that are learned from, about: those with the smallest hashes of the text. Their longest texts are learned from in part.
+#: Labelled documents that are learned from at most, those with the smallest hashes of the id, as whole texts of so many characters together.
 ROWS = 5000
-TRAIN_CHARS = 40_000
+TRAIN_CHARS = 32_000_000
 #: Training texts that a learned feature is in at least.
 LEAST = 8
 GRAMS = (4, 5, 6, 7)
@@ -95,20 +96,19 @@ def fit_bags(texts: list[str], labels: np.ndarray, *, rounds: int = 200, rate: f
         return ToxicityModel({}, -20.0 if not len(labels) or not labels[0] else 20.0)
     index: dict[str, int] = {}
     seen: list[int] = []
-    sentence, word, doc = [], [], []
+    sentence, word, doc = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         own_words: set[int] = set()
-        for s in SENTENCE.findall(text[:TRAIN_CHARS].lower()):
+        for s in SENTENCE.findall(text.lower()):
             own = [index.setdefault(w, len(index)) for w in LETTERS.findall(s)]
-            word += own
-            sentence += [len(doc)] * len(own)
+            word.extend(own)
+            sentence.extend([len(doc)] * len(own))
             doc.append(d)
             own_words.update(own)
         seen += [0] * (len(index) - len(seen))
         for w in own_words:
             seen[w] += 1
-    at, of, doc = np.array(sentence, np.int32), np.array(word, np.int32), np.array(doc, np.int32)
-    del sentence, word
+    at, of, doc = (np.array(x, np.int32) for x in (sentence, word, doc))
     names: dict[str, int] = {}
     part, whole, in_docs = [], [], []
     for w, k in index.items():
@@ -142,15 +142,26 @@ def fit_bags(texts: list[str], labels: np.ndarray, *, rounds: int = 200, rate: f
     return ToxicityModel({x: float(w[f]) for x, f in names.items() if abs(w[f]) > 0.02}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS) -> ToxicityModel:
-    """Learns from about ``rows`` of the texts of ``docs`` that ``labels`` (doc_id, toxic) marks 0 or 1; an id that is marked twice is toxic if one mark says so."""
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, chars: int = TRAIN_CHARS) -> ToxicityModel:
+    """Learns from a sample of the texts of ``docs`` that ``labels`` (doc_id, toxic) marks 0 or 1; an id that is marked twice is toxic if one mark says so.
+
+    The sample are the first rows in a random order, at most ``rows`` and ``chars`` characters together, each with its whole text.
+    The driver holds it, and gets the texts partition by partition.
+    """
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marks.count()
     share = min(1.0, 1.1 * rows / max(1, n))
     marks = marks.filter((F.shiftrightunsigned(F.xxhash64(F.lit(6), "doc_id"), 11) / float(1 << 53)) < share)
-    known = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text")).join(marks, "doc_id")
-    found = known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", "text").limit(rows).select("text", "toxic").toPandas()
-    return fit_bags(found["text"].tolist(), found["toxic"].to_numpy(np.int64))
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
+    order = [F.xxhash64(F.lit(7), "doc_id"), F.col("doc_id"), F.col("key")]
+    sizes = known.select("doc_id", F.xxhash64("text").alias("key"), F.length("text").alias("size")).orderBy(*order).limit(rows)
+    sizes = sizes.withColumn("total", F.sum("size").over(Window.orderBy(*order))).filter(F.col("total") <= chars)  # of no more than ``rows`` rows
+    sample = sizes.select("doc_id", "key").distinct().collect()  # no more than ``rows`` pairs of numbers
+    schema = "doc_id long, key long"
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["key"]) for r in sample], schema)
+    held = known.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "key"]).select("doc_id", "key", "text", "toxic")
+    found = sorted((r["doc_id"], r["key"], r["text"], r["toxic"]) for r in held.dropDuplicates(["doc_id", "key"]).toLocalIterator())
+    return fit_bags([r[2] for r in found], np.array([r[3] for r in found], np.int64))
 
 
 def detect(docs: DataFrame, labels: DataFrame, *, rows: int = ROWS, spans: bool = False) -> DataFrame:
