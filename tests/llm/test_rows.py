@@ -304,6 +304,53 @@ def test_fertility():
     assert [quality.script_of(t) for t in ("Straße", "привет мир x", "日本語", "123 !", "")] == ["latin", "cyrillic", "han", "none", "none"]
 
 
+def plain_verdicts(rows, far=quality.FAR):
+    """``kept`` of measured rows (dicts with text and lang), from lists of values."""
+    names = list(quality.STEPS)
+    step = lambda r, c: round(r[c] / quality.STEPS[c]) * quality.STEPS[c]
+    for r in rows:
+        r["kind"] = r["lang"] if r["lang"] is not None else "*" + r["script"]
+        r["cls"] = int(math.log2(max(1, r["n_tokens"])))
+        r["all"] = ""
+        r["in"] = quality.within(r["script"], r["n_tokens"], *(r[c] for c in names))
+    texts = list({(r["kind"], r["script"], r["cls"], r["text"]): r for r in rows if not r["base_failed"] and r["in"]}.values())
+    for r in rows:
+        ok = not r["base_failed"] and r["in"]
+        if ok:
+            for by, reach in quality.WIDENED:
+                own = [x for x in texts if x[by] == r[by] and abs(x["cls"] - r["cls"]) <= reach]
+                if len(own) >= quality.LEAST_TEXTS:
+                    break
+            for c, spread in zip(names, quality.SPREAD, strict=True):
+                v = sorted(step(x, c) for x in own)
+                low, mid, high = (v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.5, 0.75))
+                least = max(spread / 2 ** (r["cls"] / 2), quality.LEAST_BYTES if c == "byte_share" else 0)
+                off = (r[c] - mid) / max((high - low) / 1.349, least)
+                ok = ok and off <= (math.inf if c == "entropy" else far) and off >= (-math.inf if c == "byte_share" else -far)
+        yield r["kept"], ok, r
+
+
+@pytest.mark.parametrize("which", ["sf0.01", "odd", "two rows"])
+def test_verdicts(request, spark, which):
+    """Against bands from sorted lists; every row meets one, in a table of two rows too. How the rows are dealt changes nothing."""
+    if which == "sf0.01":
+        df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    else:
+        df = request.getfixturevalue("odd")
+        df = df if which == "odd" else df.filter("doc_id IN (7, 10)")
+    texts = df.select("doc_id", "text", "lang").collect()
+    own = Counter(r.doc_id for r in texts)
+    known = {r.doc_id: r for r in texts}
+    got = [r.asDict() for r in quality.rules(df).collect()]
+    assert len(got) == len(texts)
+    if which != "odd":  # where ids are their own
+        rows = [g | {"text": known[g["doc_id"]].text, "lang": known[g["doc_id"]].lang} for g in got]
+        assert max(own.values()) == 1
+        assert all(a == b for a, b, _ in plain_verdicts(rows))
+    again = quality.rules(df.repartition(7)).collect()
+    assert by_id((r["doc_id"], r["n_words"], r["kept"]) for r in got) == by_id((r.doc_id, r.n_words, r.kept) for r in again)
+
+
 def test_copies_do_not_narrow_the_bands(spark, documents):
     """A text with a third of all rows, half of its kind, changes nothing for the others."""
     rng = random.Random(8)
@@ -325,6 +372,24 @@ def test_copies_do_not_narrow_the_bands(spark, documents):
 # ---- 10
 
 
+def plain_table(shards, slots):
+    """Each shard's whole order of preference first, then turns."""
+    number = lambda name, salt: int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8, key=salt.encode()).digest(), "little")
+    orders = [[(number(s, "offset") + k * (number(s, "skip") % (slots - 1) + 1)) % slots for k in range(slots)] for s in shards]
+    assert all(sorted(o) == list(range(slots)) for o in orders)
+    owner = {}
+    while len(owner) < slots:
+        for k, order in enumerate(orders):
+            if len(owner) < slots:
+                owner[next(x for x in order if x not in owner)] = k
+    return [owner[x] for x in range(slots)]
+
+
+def test_the_table_is_filled_by_turns():
+    for shards, slots in ((["a"], 2), (["a", "b", "c"], 101), ([f"s{i}" for i in range(20)], 211)):
+        assert sharding.lookup_table(shards, slots) == plain_table(shards, slots)
+
+
 def test_shards(odd):
     shards = [f"s{i}" for i in range(7)]
     owner = sharding.lookup_table(shards, 1009)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -41,8 +41,12 @@ NOT_LATIN = re.compile("[^\x00-\u036f\u1e00-\u1eff\u2000-\u20cf]")
 #: Per script: least and most characters per token, most byte fallback, least entropy as a share of what so many tokens can have.
 BANDS = {"latin": (1.3, 8.0, 0.2, 0.35), "greek": (0.5, 8.0, 0.6, 0.3), "cyrillic": (0.9, 8.0, 0.5, 0.3), "none": (0.8, 8.0, 0.5, 0.35)}
 OTHER_BAND = (0.2, 8.0, 1.0, 0.25)
-#: A text is far off beyond so many deviations (estimated from the quartiles) from the median of its language and length; a kind needs so many texts.
+#: A text is far off beyond so many deviations (estimated from the quartiles) from the median of its kind; a kind is widened until it has so many texts.
 FAR, LEAST_TEXTS = 4.5, 50
+#: How a kind widens: by a language's, then by a script's neighbouring powers of two of tokens (up to so many on both sides), then to all texts.
+WIDENED = (("kind", 0), ("kind", 1), ("kind", 2), ("script", 1), ("script", 3), ("script", 30), ("all", 30))
+#: The metrics are counted in steps so fine; quartiles are of the counts, and thus the same however the rows are dealt.
+STEPS = {"chars_per_token": 0.002, "byte_share": 0.0005, "entropy": 0.005}
 #: The least deviation that a kind of texts of one token would have, in characters per token, byte share and entropy; it falls with the root of the
 #: tokens, as the deviations of sf0.1 do. Its texts have no byte tokens, so that the second is set, and never under LEAST_BYTES.
 SPREAD, LEAST_BYTES = (0.8, 0.16, 2.0), 0.01
@@ -144,26 +148,61 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "kind", F.xxhash64("text").alias("text_hash"), of("text").alias("__r")).select("doc_id", "kind", "text_hash", "__r.*")
 
 
+def bands_of(texts: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """(kind, script, cls, texts, and for each metric [quartile, median, quartile]) for what is in ``texts`` (kind, script, cls and the metrics).
+
+    The quartiles are of the narrowest of WIDENED that has ``least_texts`` texts, or of all texts.
+    """
+    places = F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c) / x).cast("long").alias("step")) for c, x in STEPS.items()])
+    counts = texts.select("kind", "script", "cls", F.explode(places).alias("p")).groupBy("kind", "script", "cls", "p.metric", "p.step").agg(F.count("*").alias("n"))
+    counts = written(counts.withColumn("all", F.lit("")), "counts")  # no more than there are steps, whatever the texts
+    cells = counts.filter(F.col("metric") == "entropy").groupBy("kind", "script", "cls", "all").agg(F.sum("n").alias("n"))
+    for level, (by, reach) in enumerate(WIDENED):
+        near = Window.partitionBy(by).orderBy("cls").rangeBetween(-reach, reach)
+        cells = cells.withColumn(f"n{level}", F.sum("n").over(near))
+    level = F.coalesce(*[F.when(F.col(f"n{i}") >= least_texts, F.lit(i)) for i in range(len(WIDENED))], F.lit(len(WIDENED) - 1))
+    cells = written(cells.select("kind", "script", "cls", "all", level.alias("level"), F.array(*[f"n{i}" for i in range(len(WIDENED))])[level].alias("texts")), "cells")
+    pools = []
+    for i, (by, reach) in enumerate(WIDENED):
+        of = cells.filter(F.col("level") == i).select(F.col(by).alias("__by"), F.col("cls").alias("__cls")).distinct()
+        mine = counts.select(F.col(by).alias("by"), "cls", "metric", "step", "n").join(of, (F.col("by") == F.col("__by")) & F.col("cls").between(F.col("__cls") - reach, F.col("__cls") + reach))
+        pools.append(mine.select(F.lit(i).alias("level"), "by", F.col("__cls").alias("cls"), "metric", "step", "n"))
+    steps = pools[0]
+    for x in pools[1:]:
+        steps = steps.unionAll(x)
+    steps = steps.groupBy("level", "by", "cls", "metric", "step").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("level", "by", "cls", "metric")
+    up = F.sum("n").over(own.orderBy("step"))
+    steps = steps.withColumns({"up": up, "whole": F.sum("n").over(own)})
+    value = F.col("step") * F.coalesce(*[F.when(F.col("metric") == c, F.lit(x)) for c, x in STEPS.items()])
+    at = F.array(*[F.min(F.when(F.col("up") >= q * F.col("whole"), value)) for q in (0.25, 0.5, 0.75)])
+    each = steps.groupBy("level", "by", "cls", "metric").agg(at.alias("at"))
+    each = each.groupBy("level", "by", "cls").agg(*[F.first(F.when(F.col("metric") == c, F.col("at")), ignorenulls=True).alias(f"__{c}") for c in STEPS])
+    each = each.withColumnsRenamed({"level": "__level", "cls": "__c"})
+    by = F.coalesce(*[F.when(F.col("level") == i, F.col(c)) for i, (c, _) in enumerate(WIDENED)])
+    return cells.join(each, (F.col("level") == F.col("__level")) & (by == F.col("by")) & (F.col("cls") == F.col("__c"))).select("kind", "script", "cls", "texts", *[f"__{c}" for c in STEPS])
+
+
 def rules(docs: DataFrame, *, path: str | None = None, lang_col: str | None = "lang", far: float = FAR) -> DataFrame:
     """Returns for each row of ``docs`` (doc_id, text, perhaps lang): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and script, n_tokens, chars_per_token, byte_share, entropy.
 
     A row is kept if the base rules, the bands of its script and those of its kind let it. A kind is a language (where that is null
     or isn't known, the script) and a power of two of tokens; its bands come from all different texts that pass the base rules, however
-    many copies each has, and with fewer than LEAST_TEXTS of them it has none. A null or empty text has no words and fails the base rules. Repeated rows and null
+    many copies each has. With fewer than LEAST_TEXTS of them a kind takes in texts of neighbouring lengths, then of its script, then all, so
+    that every row meets a band at every size. A null or empty text has no words and fails the base rules. Repeated rows and null
     ids stay, other columns are ignored, no rows give no rows. ``path``: a vocabulary file that every executor has.
     """
     kind = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     rows = measure(docs.select("doc_id", "text", kind.alias("kind")), path or public_tokenizers.path(MODEL))
     rows = written(rows.withColumn("kind", F.coalesce("kind", F.concat(F.lit("*"), "script"))).withColumn("cls", F.floor(F.log2(F.greatest(F.lit(1), "n_tokens"))).cast("int")), "quality")
     names = ("chars_per_token", "byte_share", "entropy")
-    texts = rows.filter(~F.col("base_failed") & F.col("in_band")).select("kind", "cls", "text_hash", *names).distinct()  # equal texts measure the same
-    bands = texts.groupBy("kind", "cls").agg(F.count("*").alias("__n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"__{c}") for c in names])
-    bands = written(bands.filter(F.col("__n") >= LEAST_TEXTS).withColumnsRenamed({"kind": "__kind", "cls": "__cls"}), "bands")  # its size is known to the join
+    texts = rows.filter(~F.col("base_failed") & F.col("in_band")).select("kind", "script", "cls", "text_hash", *names).distinct()  # equal texts measure the same
+    bands = written(bands_of(texts).withColumnsRenamed({"kind": "__kind", "script": "__script", "cls": "__cls"}), "bands")  # its size is known to the join
     least = {c: F.lit(x) / F.sqrt(F.pow(F.lit(2.0), "cls")) for c, x in zip(names, SPREAD, strict=True)}
     least["byte_share"] = F.greatest(least["byte_share"], F.lit(LEAST_BYTES))
     off = {c: (F.col(c) - F.col(f"__{c}")[1]) / F.greatest((F.col(f"__{c}")[2] - F.col(f"__{c}")[0]) / 1.349, least[c]) for c in names}
     usual = (F.abs(off["chars_per_token"]) <= far) & (off["byte_share"] <= far) & (off["entropy"] >= -far)
-    out = rows.join(bands, (F.col("kind") == F.col("__kind")) & (F.col("cls") == F.col("__cls")), "left")
+    out = rows.join(bands, (F.col("kind") == F.col("__kind")) & (F.col("script") == F.col("__script")) & (F.col("cls") == F.col("__cls")), "left")
     kept = ~F.col("base_failed") & F.col("in_band") & F.coalesce(usual, F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "script", "n_tokens", *names)
 
