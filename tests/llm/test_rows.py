@@ -78,9 +78,9 @@ def test_mix_rows(odd):
 # ---- 3
 
 
-@pytest.mark.parametrize(("which", "moduli"), [("documents", exact_dedup.MODULI), ("odd", exact_dedup.MODULI), ("odd", (3, 2))])
-def test_exact(request, which, moduli):
-    """The small moduli make most fingerprints collide."""
+@pytest.mark.parametrize(("which", "moduli", "size"), [("documents", exact_dedup.MODULI, None), ("odd", exact_dedup.MODULI, 50), ("odd", (3, 2), None), ("odd", (3, 2), 7)])
+def test_exact(request, which, moduli, size):
+    """The small moduli make most fingerprints collide; with a small size nearly all texts go in parts."""
     df = request.getfixturevalue(which)
     groups = defaultdict(list)
     for i, t, _ in table(df):
@@ -90,7 +90,30 @@ def test_exact(request, which, moduli):
         held.sort(key=lambda x: (-x[1], x[0] is None, x[0] or 0))
         digest = hashlib.sha256(norm.encode()).hexdigest()
         want += [(i, held[0][0], len(held), k == 0, digest) for k, (i, _) in enumerate(held)]
-    assert by_id(map(tuple, exact_dedup.deduplicate(df, moduli=moduli).collect())) == by_id(want)
+    assert by_id(map(tuple, exact_dedup.deduplicate(df, moduli=moduli, size=size).collect())) == by_id(want)
+
+
+def test_huge_texts(spark):
+    """Above the real size of a part: equal ones, one that differs in its last part only, and one with white space."""
+    text = "".join(f"line {i} of a huge text\n" for i in range(70_000))
+    texts = [text, text + "a", text.replace(" ", "\t"), text[:-1] + "b", text + "a", text + " a"]
+    assert len(text.replace(" ", "")) > exact_dedup.COMPARED
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(df).collect()}
+    assert got == {0: (0, 2, True), 2: (0, 2, False), 1: (5, 3, False), 4: (5, 3, False), 5: (5, 3, True), 3: (3, 1, True)}
+
+
+def test_the_sql_for_equal_texts(spark, tmp_path):
+    """With every kind of white space that is deleted, and others that are not."""
+    import duckdb
+
+    texts = ["a b", "a\x0bb", "a\x0cb\r", "a\rb\n\t", "a\x1fb", "a\x85b", "a\xa0b", "ab", "a-b", "a\x08b", None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rows = [tuple(r) for r in exact_dedup.op3_exact_dedup(spark, str(tmp_path)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+    assert by_id(rows) == by_id(con.sql(exact_dedup.SQL).fetchall())
 
 
 def test_fingerprints_compose():

@@ -1,8 +1,8 @@
 """Operator 3: exact deduplication by composable polynomial fingerprints.
 
 A text's fingerprint is the value of its UTF-8 bytes as a polynomial, modulo two primes, with the length. The hash
-of a joined text is ``hash(a) * base ** len(b) + hash(b)``, so the chunks of a huge text are hashed side by side and
-then combined. Rows with equal fingerprints are compared with one row of their group, chunk by chunk in
+of a joined text is ``hash(a) * base ** len(b) + hash(b)``, so the chunks of a huge text are rows of their own, hashed by
+many tasks and then combined by an aggregation. Rows with equal fingerprints are compared with one row of their group, chunk by chunk in
 a join on the chunk's number; rows that differ from it (which takes a collision) form groups by their SHA-256.
 """
 
@@ -21,7 +21,7 @@ from .common import SPACES, discard, table, written
 CHUNK = 1 << 16
 MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_013)
-#: Characters of a text that are compared at once.
+#: Characters of a text that are hashed and compared at once; a longer one goes in parts of so many.
 COMPARED = 1 << 20
 
 
@@ -56,55 +56,93 @@ def fingerprint(data: bytes, moduli: tuple[int, ...] = MODULI) -> tuple[int, ...
     return out
 
 
-def _normal(docs: DataFrame, moduli: tuple[int, ...]) -> DataFrame:
-    """doc_id, n_code (code points of the original text), norm, and the fingerprint as f1, f2, n."""
+FP = ("f1", "f2", "n")
 
-    @F.pandas_udf("f1 long, f2 long, n long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([fingerprint(t.encode(), moduli) for t in texts], columns=["f1", "f2", "n"], dtype="int64")
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", F.length(text).cast("long").alias("n_code"), F.translate(text, SPACES, "").alias("norm"))
-    return out.withColumn("__f", of("norm")).select("doc_id", "n_code", "norm", "__f.f1", "__f.f2", "__f.n")
+def _norm() -> Column:
+    return F.translate(F.coalesce(F.col("text"), F.lit("")), SPACES, "")
 
 
-FP = ("f1", "f2", "n")
+def _parts(norm: Column, size: int) -> Column:
+    """The text in pieces of ``size`` characters; one piece at least."""
+    return F.when(F.length(norm) <= size, F.array(norm)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(norm) - 1) / size).cast("int")), lambda i: F.substring(norm, i * size + 1, F.lit(size))))
+
+
+def _hashed(norm: Column, moduli: tuple[int, ...]) -> Column:
+    """f1, f2, n, and what a hash of a text before this one is multiplied by; null for null."""
+
+    @F.pandas_udf("f1 long, f2 long, n long, s1 long, s2 long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                own = fingerprint(t.encode(), moduli) if t is not None else (None,) * 3
+                rows.append((*own, *(pow(base, own[2], m) if t is not None else None for base, m in zip(BASES, moduli, strict=True))))
+            yield pd.DataFrame(rows, columns=[*FP, "s1", "s2"], dtype="Int64")
+
+    return of(norm)
+
+
+def _fingerprints(docs: DataFrame, moduli: tuple[int, ...], size: int) -> DataFrame:
+    """doc_id, key (of the original text), n_code (code points of it), f1, f2, n, text_sha256, m: rows alike in all are one, and m says how many."""
+    norm = _norm()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_code"), _hashed(F.when(F.length(norm) <= size, norm), moduli).alias("f"), F.sha2(norm, 256).alias("text_sha256"))
+    rows = written(rows.select("doc_id", "key", "n_code", *[f"f.{c}" for c in FP], "text_sha256"), "fingerprints")
+    whole = rows.filter("f1 IS NOT NULL")
+    huge = rows.filter("f1 IS NULL")
+    if not huge.isEmpty():
+        chunks = docs.filter(F.length(norm) > size).select(F.sha2(norm, 256).alias("sha"), F.posexplode(_parts(norm, size)).alias("at", "part"))
+        chunks = chunks.repartition("sha", "at").dropDuplicates(["sha", "at"]).select("sha", "at", _hashed(F.col("part"), moduli).alias("f"))
+        each = F.sort_array(F.collect_list(F.struct("at", *[F.col(f"f.{c}").alias(c) for c in (*FP, "s1", "s2")])))
+        start = F.struct(*[F.lit(0).cast("long").alias(c) for c in FP])
+        joined = F.aggregate(each, start, lambda a, x: F.struct(*[((a[f] * x[s] + x[f]) % m).alias(f) for f, s, m in (("f1", "s1", moduli[0]), ("f2", "s2", moduli[1]))], (a["n"] + x["n"]).alias("n")))
+        of = written(chunks.groupBy("sha").agg(joined.alias("f")), "huge-texts")
+        whole = whole.unionAll(huge.join(of, F.col("text_sha256") == F.col("sha")).select("doc_id", "key", "n_code", *[f"f.{c}" for c in FP], "text_sha256"))
+    return whole.groupBy("doc_id", "key", "n_code", *FP, "text_sha256").agg(F.count("*").alias("m"))
 
 
 def _first() -> Column:
     """Of equal texts: the most code points, then the smallest doc_id; a null id comes last."""
-    return F.min(F.struct(-F.col("n_code"), F.col("doc_id").isNull(), "doc_id"))
+    return F.min(F.struct(-F.col("n_code"), F.col("doc_id").isNull(), "doc_id", "text_sha256"))
 
 
-def _different(docs: DataFrame, rows: DataFrame, moduli: tuple[int, ...]) -> DataFrame:
-    """The rows (doc_id, n_code, fingerprint) whose text isn't that of the first row of their fingerprint, after all."""
+def _different(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """The rows (doc_id, n_code, fingerprint) whose text isn't that of the first row of their fingerprint, after all.
+
+    Only texts with a fingerprint that others have too are read again; they are found by their key, which takes no second fingerprint.
+    """
     groups = rows.groupBy(*FP).agg(F.sum("m").alias("__m"), _first().alias("__first")).filter("__m > 1")
-    groups = groups.select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("__first.doc_id").alias("__keep"), (-F.col("__first.col1")).alias("__keep_n"))
-    groups = groups_table = written(groups, "groups")  # a join of two plain shuffles, whose hot fingerprints Spark can split
+    groups = groups.select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("__first.doc_id").alias("keep"), (-F.col("__first.col1")).alias("keep_n"), F.col("__first.text_sha256").alias("keep_sha"))
     same_fp = F.lit(True)
     for c in FP:
         same_fp = same_fp & (F.col(c) == F.col(f"__{c}"))
-    parts = F.when(F.length("norm") <= COMPARED, F.array("norm")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length("norm") - 1) / COMPARED).cast("int")), lambda i: F.substring(F.col("norm"), i * COMPARED + 1, F.lit(COMPARED))))
-    several = _normal(docs, moduli).join(groups, same_fp).select("doc_id", "n_code", *FP, (F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("n_code") == F.col("__keep_n"))).alias("is_first"), F.posexplode(parts).alias("at", "part"))
+    keys = written(rows.select("key", *FP).distinct().join(groups, same_fp).select(F.col("key").alias("__key"), *FP, "keep", "keep_n", "keep_sha"), "groups")
+    norm = _norm()
+    here = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_code"), F.xxhash64("text").alias("key"), norm.alias("norm"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("n_code") == F.col("keep_n"))
+    is_first = F.when(is_first, F.sha2("norm", 256) == F.col("keep_sha")).otherwise(False)
+    # A join of two plain shuffles, whose hot texts Spark can split.
+    several = here.join(keys, F.col("key") == F.col("__key")).select("doc_id", "n_code", *FP, is_first.alias("is_first"), F.posexplode(_parts(F.col("norm"), size)).alias("at", "part"))
     several = written(several, "equal-fingerprints")
     first = several.filter("is_first").groupBy(*FP, "at").agg(F.first("part").alias("__part")).select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("at").alias("__at"), "__part")
     first = written(first, "first-texts")
     out = written(several.join(first, same_fp & (F.col("at") == F.col("__at"))).filter(F.col("part") != F.col("__part")).select("doc_id", "n_code", *FP).distinct(), "different")
-    discard(groups_table, several, first)
+    discard(keys, several, first)
     return out
 
 
-def deduplicate(docs: DataFrame, *, moduli: tuple[int, ...] = MODULI) -> DataFrame:
+def deduplicate(docs: DataFrame, *, moduli: tuple[int, ...] = MODULI, size: int | None = None) -> DataFrame:
     """Groups texts that are identical after deleting ASCII white space. ``docs``: doc_id, text.
 
     Returns a row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256. Of equal texts the row with the
     most code points, then with the smallest doc_id (null last), stays; of repeated rows of it just one does.
-    A null text counts as empty; all empty texts are equal. Other columns are ignored, and no rows give no rows.
+    A null text counts as empty; all empty texts are equal. Other columns are ignored, and no rows give no rows. A text of more than ``size``
+    characters is hashed and compared in parts, none of which is left out.
     """
-    rows = _normal(docs, moduli).select("doc_id", "n_code", *FP, F.sha2("norm", 256).alias("text_sha256"))
-    rows = written(rows, "fingerprints").groupBy("doc_id", "n_code", *FP, "text_sha256").agg(F.count("*").alias("m"))
-    other = _different(docs, rows, moduli)
+    size = size or COMPARED
+    docs = docs.select("doc_id", "text")
+    rows = _fingerprints(docs, moduli, size)
+    other = _different(docs, rows, size)
     rows = rows.withColumn("cls", F.lit(""))
     if not other.isEmpty():  # a collision: these rows are told apart by SHA-256
         by = ["doc_id", "n_code", *FP]
@@ -130,8 +168,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ 	-
-]', '', 'g') AS norm FROM documents
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
 )
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
