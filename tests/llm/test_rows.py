@@ -160,13 +160,35 @@ def test_ids_of_words():
         assert w.of(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_islands_beat_or_match_best_fit():
+def test_children_beat_best_fit():
+    """Where best fit from long to short misses the bound, children do better; and they do without it."""
     rng = np.random.default_rng(1)
-    lengths = rng.integers(200, 900, 300)
-    plain = packing.fresh(lengths, 0, rng, 1000)
-    best = packing.evolve(lengths, [], rng, 1000)
-    assert best.worth >= plain.worth
-    assert (np.bincount(best.bins, weights=lengths) <= 1000).all()
+    lengths = rng.integers(500, 1000, 300)
+    plain = packing.sorted_fit(lengths, 2048)
+    best, first, won = packing.evolve(lengths, [], rng, 2048)
+    assert -(-lengths.sum() // 2048) < len(best.fills) < len(plain.fills) < first
+    assert won > 5
+    assert (np.bincount(best.bins, weights=lengths) <= 2048).all()
+    again = packing.evolve(lengths, [best.bins], rng, 2048, last=True)[0]
+    assert again.worth >= best.worth
+
+
+def test_children_reach_the_bound_from_random_orders():
+    rng = np.random.default_rng(2)
+    lengths = rng.gamma(1.6, 300, 4000).astype(int).clip(1, 2047)
+    best, first, won = packing.evolve(lengths, [], rng, 2048)
+    assert len(best.fills) == -(-lengths.sum() // 2048) < first
+    assert won > 0
+
+
+def test_the_report_of_the_islands(documents):
+    pieces = packing.token_pieces(documents, path=packing.public_tokenizers.path(packing.TOKENIZER))
+    rows = packing.pack(pieces, block=100, report=True).collect()
+    n = documents.count()
+    assert len(rows) % packing.ISLANDS == 0
+    assert sum(r["items"] for r in rows) >= packing.ISLANDS * n * 0.9
+    assert all(r.least <= r.best for r in rows)
+    assert sum(r.won for r in rows) > 0
 
 
 # ---- 5

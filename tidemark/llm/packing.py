@@ -1,7 +1,7 @@
 """Operator 4: packing token sequences by a grouping genetic algorithm.
 
 Documents are tokenised, and what is longer than a sequence is cut. Full pieces are sequences of their own. The others are
-dealt by hash into blocks of bounded size, and several islands evolve packings of each block: a child inherits whole
+dealt by hash into blocks of bounded size, and several islands evolve packings of each block, from best fits in random orders: a child inherits whole
 well-filled bins of one parent, the other parent's bins that share a document with those are dissolved, and their displaced
 documents are best-fitted into what is left. Between epochs each island sends its best packing to the next one.
 """
@@ -31,8 +31,10 @@ TOKENIZER = "word_bpe_49k.json"
 BLOCK = 4096
 ISLANDS = 3
 EPOCHS = 2
-POPULATION = 4
-CHILDREN = 10
+POPULATION = 5
+CHILDREN = 40
+#: Of a parent's well-filled bins, the share that a child takes, and of the other's bins that which is dissolved; drawn for each child.
+INJECTED, DISSOLVED = (0.05, 0.25, 0.6), (0.0, 0.03, 0.15)
 #: Words whose ids a worker remembers, and their longest.
 CACHE, CACHE_CHARS = 800_000, 64
 
@@ -134,23 +136,31 @@ class Packing:
         self.worth = (-len(self.fills), float(((self.fills / capacity) ** 2).sum()))
 
 
-def fresh(lengths: np.ndarray, noise: float, rng: np.random.Generator, capacity: int) -> Packing:
-    """Best fit from long to short, the lengths perturbed by ``noise``."""
-    bins, fills = np.full(len(lengths), -1, np.int64), []
-    best_fit(lengths, np.argsort(-lengths * (1 + noise * rng.standard_normal(len(lengths))), kind="stable"), bins, fills, capacity)
+def random_fit(lengths: np.ndarray, rng: np.random.Generator, capacity: int) -> Packing:
+    """Best fit in a random order: what a population starts from."""
+    bins = np.full(len(lengths), -1, np.int64)
+    best_fit(lengths, rng.permutation(len(lengths)), bins, [], capacity)
+    return Packing(lengths, bins, capacity)
+
+
+def sorted_fit(lengths: np.ndarray, capacity: int) -> Packing:
+    """Best fit from long to short."""
+    bins = np.full(len(lengths), -1, np.int64)
+    best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, [], capacity)
     return Packing(lengths, bins, capacity)
 
 
 def crossover(a: Packing, b: Packing, lengths: np.ndarray, rng: np.random.Generator, capacity: int) -> Packing:
-    """Injects well-filled bins of ``b`` into ``a``; a's bins that hold a document of those go, and a few of its worst ones."""
+    """Injects well-filled bins of ``b`` into ``a``; a's bins that hold a document of those go, with its worst ones and some others (the mutation)."""
     order = np.argsort(-b.fills, kind="stable")
     good = order[: max(1, len(order) // 2)]
     taken = np.zeros(len(b.fills), bool)
-    taken[rng.choice(good, max(1, len(good) // 4), replace=False)] = True
+    taken[rng.choice(good, max(1, int(len(good) * rng.choice(INJECTED))), replace=False)] = True
     inherited = taken[b.bins]
     gone = np.zeros(len(a.fills), bool)
     gone[a.bins[inherited]] = True
     gone[np.argsort(a.fills, kind="stable")[: 1 + len(a.fills) // 50]] = True
+    gone[rng.random(len(gone)) < rng.choice(DISSOLVED)] = True
     displaced = np.flatnonzero(gone[a.bins] & ~inherited)
     bins = np.where(inherited, len(a.fills) + b.bins, a.bins)
     left = np.where(gone, 0, a.fills).tolist() + np.where(taken, b.fills, 0).tolist()
@@ -158,29 +168,39 @@ def crossover(a: Packing, b: Packing, lengths: np.ndarray, rng: np.random.Genera
     return Packing(lengths, bins, capacity)
 
 
-def evolve(lengths: np.ndarray, start: list[np.ndarray], rng: np.random.Generator, capacity: int) -> Packing:
-    """An island's epoch; it ends early at a packing that no other can beat."""
+def evolve(lengths: np.ndarray, start: list[np.ndarray], rng: np.random.Generator, capacity: int, last: bool = False) -> tuple[Packing, int, int]:
+    """An island's epoch: its best packing, the bins of the best that it began with, and how many children entered the population.
+
+    It ends early at a packing that no other can beat. Only in the ``last`` epoch, and only if that isn't found, best fit from
+    long to short joins the population, so that the result is never worse than that.
+    """
     least = -(-int(lengths.sum()) // capacity)
-    found = [Packing(lengths, x, capacity) for x in start] or [fresh(lengths, 0, rng, capacity)]
-    best = max(found, key=lambda x: x.worth)
-    while len(found) < POPULATION and -best.worth[0] > least:
-        found.append(fresh(lengths, 0.1 * len(found), rng, capacity))
-    for _ in range(CHILDREN):
+    found = [Packing(lengths, x, capacity) for x in start]
+    while len(found) < POPULATION:
+        found.append(random_fit(lengths, rng, capacity))
+    first, won = min(len(x.fills) for x in found), 0
+    for k in range(CHILDREN):
         best = max(found, key=lambda x: x.worth)
         if -best.worth[0] <= least:
             break
+        worst = min(range(len(found)), key=lambda k: found[k].worth)
+        if last and k == CHILDREN // 2:
+            found[worst] = max(found[worst], sorted_fit(lengths, capacity), key=lambda x: x.worth)
         a, b = rng.choice(len(found), 2, replace=False)
         child = crossover(*sorted((found[a], found[b]), key=lambda x: x.worth, reverse=bool(rng.integers(2))), lengths, rng, capacity)
         worst = min(range(len(found)), key=lambda k: found[k].worth)
         if child.worth >= found[worst].worth:
             found[worst] = child
-    return max(found, key=lambda x: x.worth)
+            won += 1
+    return max(found, key=lambda x: x.worth), first, won
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 4, report: bool = False) -> DataFrame:
     """``pieces`` (with a column length, 1 to ``capacity``) with sequence_id and offset: as few sequences as it finds, each filled from 0 without gaps.
 
-    All columns of ``pieces`` stay. Blocks hold about ``block`` pieces whatever the input, so a task's memory is bounded.
+    All columns of ``pieces`` stay. Blocks hold about ``block`` pieces whatever the input, so a task's memory is bounded. With ``report`` it
+    tells instead how the islands fared: block, island, items, least (sequences that could do), first (of the last epoch's start), best, won
+    (children that entered the population, of all epochs).
     """
     names = pieces.columns
     rows = written(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
@@ -188,7 +208,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK, isl
     part = rows.filter(F.col("length") < capacity)
     blocks = max(1, round(part.count() / block))
     items = part.select(F.col("__uid").alias("uid"), "length", F.pmod(F.xxhash64(F.lit(seed), "__uid"), F.lit(blocks)).alias("block"))
-    state = items.withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)]))).withColumn("bin", F.lit(-1).cast("long")).withColumn("came", F.lit(False))
+    state = items.withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)]))).withColumn("bin", F.lit(-1).cast("long")).withColumn("came", F.lit(False)).withColumns({"first": F.lit(0), "won": F.lit(0)})
 
     def island(epoch: int):
         def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,17 +216,21 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, block: int = BLOCK, isl
             lengths = own["length"].to_numpy(np.int64)
             start = [] if epoch == 0 else [x.sort_values("uid")["bin"].to_numpy(np.int64) for _, x in pdf.groupby("came")]
             rng = np.random.default_rng([seed, epoch, int(key[0]), int(key[1])])
-            return own.assign(bin=evolve(lengths, start, rng, capacity).bins)
+            best, first, won = evolve(lengths, start, rng, capacity, last=epoch == epochs - 1)
+            return own.assign(bin=best.bins, first=first, won=won + own["won"].iloc[0])
 
         return step
 
-    schema = "uid long, length long, block long, island int, bin long, came boolean"
+    schema = "uid long, length long, block long, island int, bin long, came boolean, first int, won int"
     for epoch in range(epochs):
         if epoch:
             state = state.unionAll(state.withColumn("island", (F.col("island") + 1) % islands).withColumn("came", F.lit(True)))
-        state = state.select("uid", "length", "block", "island", "bin", "came").groupBy("block", "island").applyInPandas(island(epoch), schema)
+        state = state.select("uid", "length", "block", "island", "bin", "came", "first", "won").groupBy("block", "island").applyInPandas(island(epoch), schema)
         if epochs > 1:
             state = written(state, "islands")
+    if report:
+        told = [F.count("*").alias("items"), F.ceil(F.sum("length") / capacity).alias("least"), F.first("first").alias("first"), (F.max("bin") + 1).alias("best"), F.first("won").alias("won")]
+        return state.groupBy("block", "island").agg(*told)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         one = min((x for _, x in pdf.groupby("island")), key=lambda x: x["bin"].max()).sort_values(["bin", "uid"])
