@@ -291,6 +291,29 @@ def test_links(request, which, how):
     assert by_id(map(tuple, ngram_join.join(df, **how).collect())) == by_id(plain_components(table(df), num, den, how.get("n", 4)))
 
 
+@pytest.mark.parametrize(("few", "columns", "increments"), [(32, 1024, 1 << 20), (2, 3, 8), (5, 1, 64)])
+def test_the_product_of_a_block(monkeypatch, few, columns, increments):
+    """Roots against all pairs of small sets, near the threshold; with what is known already, and with new rows only."""
+    for name, x in (("FEW", few), ("COLUMNS", columns), ("INCREMENTS", increments)):
+        monkeypatch.setattr(ngram_join, name, x)
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        base = [rng.choice(1000, rng.integers(4, 40), replace=False) for _ in range(3)]
+        sets = [np.unique(np.concatenate([rng.permutation(x)[rng.integers(0, 4) :], rng.integers(0, 1000, rng.integers(0, 3))])).astype(np.uint64) for x in base for _ in range(rng.integers(1, 14))]
+        bounds = ngram_join.Bounds(*((85, 100), (80, 100), (50, 100))[trial % 3])
+        m = len(sets)
+        known = np.arange(m) if trial % 2 else np.array([max(0, i - i % 2) for i in range(m)])
+        new = None if trial % 4 < 2 else rng.random(m) < 0.4
+        part = known.copy()
+        for i in range(m):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if (new is None or new[i] or new[j]) and bounds.linked(common, len(sets[i]), len(sets[j])):
+                    part[part == part[i]] = part[j]
+        got = ngram_join.link(sets, bounds, known, new)
+        assert len({*zip(part.tolist(), got.tolist(), strict=True)}) == len(set(part.tolist())) == len(set(got.tolist()))
+
+
 def test_linked_sets_share_a_key():
     """At the edge of the threshold, for all sizes."""
     rng = np.random.default_rng(5)

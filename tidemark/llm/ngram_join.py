@@ -6,11 +6,11 @@ the overlaps. Only blocks of the product that can hold a link are computed:
 1. Two sets that reach the threshold differ in at most H n-grams, where H follows from their sizes. Split by hash into H + 1
    parts, they agree in one of them. The hash of each part of each row is a key; rows that share a key are tied into candidate
    groups. No pairs are made: each key ties its rows to one of them, within a batch first and then over all.
-2. The rows of a candidate group, dealt into blocks of bounded size, are multiplied: postings of the rarest n-grams, as many as
-   the size-derived bound asks for, give the pairs that can reach the threshold; the overlap of those is counted, pairs that
-   cannot are discarded, and pairs that are connected already are passed over.
+2. The rows of a candidate group, dealt into blocks of bounded size, are multiplied: the product of a block's matrix with its transpose
+   is added up by slices of n-grams, from rare ones to frequent ones. After each slice the pairs whose count can't reach the bound that follows from
+   their sizes any more are discarded, and so are those that are connected already; rows without a pair leave the product.
 3. Where a group has several blocks, one row of each of its connected parts meets the others; the rows of all but
-   the largest connected part then meet every block. A link between two parts has an end outside the largest, so none is lost.
+   the largest connected part, in chunks of bounded size, then meet every block. A link between two parts has an end outside the largest, so none is lost.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Keys that a bucket of the key exchange holds, about.
 BUCKET_KEYS = 1_000_000
 #: Rows that a block of the product holds, about.
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 512
+#: N-grams that at most so many rows of a block have are multiplied pair by pair, with so many increments at once, others as so many columns of a matrix.
+FEW, INCREMENTS, COLUMNS = 32, 1 << 20, 1024
 #: Keys, or bytes of text, that are made at once.
 AT_ONCE = 400_000
 #: Counters of n-grams by their first bits, as a power of two, and the rows that they are sent in.
@@ -306,6 +308,38 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     return labels.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def _merged(root: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The roots after the links of ``hit``, a symmetric matrix: the least one of what is connected."""
+    m = len(root)
+    while True:
+        best = np.minimum(np.where(hit, root[None, :], m).min(axis=1), root)
+        to = np.arange(m)
+        np.minimum.at(to, root, best)
+        out = to[root]
+        if np.array_equal(out, root):
+            return out
+        root = out
+
+
+def _slices(df: np.ndarray, gram: np.ndarray, row: np.ndarray, m: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(whether they are few a gram, n-grams, rows) of postings that are sorted by how many rows their n-gram has, whole n-grams each time."""
+    times = df[gram]
+    at = 0
+    for most in (2, 3, 4, 6, 8, 12, 16, 24, FEW):
+        end = int(np.searchsorted(times, most, "right"))
+        while at < end:  # so that no slice makes more than so many increments
+            stop = min(end, at + max(most, INCREMENTS // most))
+            while stop < end and gram[stop] == gram[stop - 1]:
+                stop += 1
+            yield True, gram[at:stop], row[at:stop]
+            at = stop
+    while at < len(gram):
+        first = np.flatnonzero(np.concatenate([[True], gram[at + 1 :] != gram[at:-1]]))
+        stop = at + int(first[COLUMNS]) if len(first) > COLUMNS else len(gram)
+        yield False, gram[at:stop], row[at:stop]
+        at = stop
+
+
 def link(sets: list[np.ndarray], bounds: Bounds, root: np.ndarray | None = None, new: np.ndarray | None = None) -> np.ndarray:
     """Step 2 for a block: each row's root, equal for rows that links connect.
 
@@ -314,50 +348,46 @@ def link(sets: list[np.ndarray], bounds: Bounds, root: np.ndarray | None = None,
     m = len(sets)
     root = np.arange(m) if root is None else root.copy()
     sizes = np.array([len(s) for s in sets], np.int64)
-    grams, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    pending = root[:, None] != root[None, :]
+    pending &= bounds.den * np.minimum(sizes[:, None], sizes[None, :]) >= bounds.num * np.maximum(sizes[:, None], sizes[None, :])
+    if new is not None:
+        pending &= new[:, None] | new[None, :]
+    if not pending.any():
+        return root
+    need = bounds.overlap(sizes[:, None], sizes[None, :])
+    ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
     row = np.repeat(np.arange(m), sizes)
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    by_rarity = np.lexsort((ids, df[ids], row))
-    prefix = sizes - -(-bounds.num * sizes // bounds.den) + 1
-    place = np.arange(len(row)) - start[row]
-    ids_r = ids[by_rarity]
-    taken = (place < prefix[row]) & (df[ids_r] > 1)
-    order = np.argsort(sizes, kind="stable")
-    rank = np.empty(m, np.int64)
-    rank[order] = np.arange(m)
-    # Postings of the prefixes, by gram and then by the rows' order.
-    p_gram, p_rank = ids_r[taken], rank[row[taken]]
-    by = np.lexsort((p_rank, p_gram))
-    p_gram, p_rank = p_gram[by], p_rank[by]
-    first = np.searchsorted(p_gram, np.arange(len(grams) + 1))
-    grams_of = [ids_r[start[i] : start[i + 1]][taken[start[i] : start[i + 1]]] for i in range(m)]
-    flag = np.zeros(len(grams), bool)
-    seen = np.zeros(m, bool)
-    for r, i in enumerate(order.tolist()):
-        slices = [p_rank[first[g] : first[g + 1]] for g in grams_of[i].tolist()]
-        if not slices:
-            continue
-        near = np.concatenate(slices)
-        seen[near[near < r]] = True
-        near = np.flatnonzero(seen[:r])
-        seen[near] = False
-        near = order[near]
-        near = near[(sizes[near] >= bounds.least_size(int(sizes[i]))) & (root[near] != root[i])]
-        if new is not None and not new[i]:
-            near = near[new[near]]
-        if not len(near):
-            continue
-        own = ids[start[i] : start[i + 1]]
-        flag[own] = True
-        while len(near):
-            j = near[-1]
-            common = int(flag[ids[start[j] : start[j + 1]]].sum())
-            if bounds.linked(common, int(sizes[i]), int(sizes[j])):
-                root[root == root[j]] = root[i]
-                near = near[root[near] != root[i]]
-            else:
-                near = near[:-1]
-        flag[own] = False
+    shared = np.flatnonzero(df[ids] > 1)
+    shared = shared[np.lexsort((ids[shared], df[ids[shared]]))]
+    left = np.bincount(row[shared], minlength=m)
+    counts = np.zeros((m, m), np.int32)
+    pending &= np.minimum(left[:, None], left[None, :]) >= need
+    active = pending.any(axis=1)
+    for few, gram, of in _slices(df, ids[shared], row[shared], m):
+        if not active.any():
+            break
+        if few:
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            times = np.diff(np.append(first, len(gram)))
+            for d in np.unique(times).tolist():
+                own = of[first[times == d][:, None] + np.arange(d)]
+                counts += np.bincount((own[:, :, None] * m + own[:, None, :]).ravel(), minlength=m * m).reshape(m, m).astype(np.int32)
+        else:
+            here = np.flatnonzero(active)
+            place = np.full(m, -1)
+            place[here] = np.arange(len(here))
+            column = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
+            held = place[of] >= 0
+            matrix = np.zeros((len(here), int(column[-1]) + 1), np.float32)
+            matrix[place[of[held]], column[held]] = 1
+            counts[np.ix_(here, here)] += (matrix @ matrix.T).astype(np.int32)
+        left -= np.bincount(of, minlength=m)
+        hit = pending & (counts >= need)
+        if hit.any():
+            root = _merged(root, hit)
+            pending &= root[:, None] != root[None, :]
+        pending &= counts + np.minimum(left[:, None], left[None, :]) >= need
+        active = pending.any(axis=1)
     return root
 
 
@@ -396,7 +426,7 @@ def _linked(cand: DataFrame, bounds: Bounds, n: int) -> DataFrame:
     return cand.select("label", "block", "h1", "h2", "text").repartition("label", "block").sortWithinPartitions("label", "block").mapInPandas(run, LINKED)
 
 
-def _across(cand: DataFrame, parts: DataFrame, bounds: Bounds, n: int) -> DataFrame:
+def _across(cand: DataFrame, parts: DataFrame, bounds: Bounds, n: int, block_rows: int) -> DataFrame:
     """Step 3: (node, label) of the parts of candidate groups with several blocks, after links between blocks."""
     several = written(parts.filter("block > 0").select(F.col("label").alias("__label")).distinct(), "several")
     parts = written(parts.join(several, F.col("label") == F.col("__label"), "left_semi"), "parts")
@@ -417,13 +447,16 @@ def _across(cand: DataFrame, parts: DataFrame, bounds: Bounds, n: int) -> DataFr
 
     main = written(largest.join(hub, F.col("label") == F.col("__label")).filter(alike("one.text", "hub_text")).select("label", "part", "hub_part"), "main")
     known = main.select(F.col("part").alias("__part"))
-    others = rows.join(known, F.col("part") == F.col("__part"), "left_anti")
+    others = written(rows.join(known, F.col("part") == F.col("__part"), "left_anti"), "others")
+    chunks = others.groupBy("label").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks")).withColumnRenamed("label", "__label")
     blocks = parts.select(F.col("label").alias("__label"), F.col("block").alias("to")).distinct()
-    out = others.join(blocks, F.col("label") == F.col("__label")).filter("block <> to").select("label", F.col("to").alias("block"), "part", "h1", "h2", "text", F.lit(True).alias("new"))
-    both = rows.select("label", "block", "part", "h1", "h2", "text", F.lit(False).alias("new")).unionAll(out)
+    each = others.join(chunks, F.col("label") == F.col("__label")).drop("__label").withColumn("chunk", F.pmod(F.xxhash64("h1", "h2"), F.col("chunks")).cast("int"))
+    out = each.join(blocks, F.col("label") == F.col("__label")).filter("block <> to").select("label", F.col("to").alias("block"), "chunk", "part", "h1", "h2", "text", F.lit(True).alias("new"))
+    here = rows.join(chunks, F.col("label") == F.col("__label")).select("label", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", "h1", "h2", "text", F.lit(False).alias("new"))
+    both = here.unionAll(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, own in _blocks(batches, ["label", "block"]):
+        for _, own in _blocks(batches, ["label", "block", "chunk"]):
             new = own["new"].to_numpy(bool)
             if new.any():
                 names, part = np.unique(own["part"].to_numpy(str), return_inverse=True)
@@ -432,9 +465,9 @@ def _across(cand: DataFrame, parts: DataFrame, bounds: Bounds, n: int) -> DataFr
                 pairs = {(names[part[i]], names[part[root[i]]]) for i in first.tolist()}
                 yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"])
 
-    found = both.repartition("label", "block").sortWithinPartitions("label", "block").mapInPandas(run, "a string, b string")
+    found = both.repartition("label", "block", "chunk").sortWithinPartitions("label", "block", "chunk").mapInPandas(run, "a string, b string")
     out = components(found.unionAll(main.select(F.col("part").alias("a"), F.col("hub_part").alias("b"))), cand.sparkSession)
-    discard(several, parts, rows, main)
+    discard(several, parts, rows, main, others)
     return out
 
 
@@ -512,7 +545,7 @@ def join(docs: DataFrame, *, threshold: tuple[int, int] = THRESHOLD, n: int = N,
     cand = written(cand.mapInPandas(same_set, cand.schema), "candidate-texts")
     parts = written(_linked(cand, bounds, n), "linked")
     if not parts.filter("block > 0").isEmpty():
-        merged = _across(cand, parts, bounds, n).select(F.col("node").alias("__node"), F.col("label").alias("__to"))
+        merged = _across(cand, parts, bounds, n, block_rows).select(F.col("node").alias("__node"), F.col("label").alias("__to"))
         parts = parts.join(merged, F.col("part") == F.col("__node"), "left").withColumn("part", F.coalesce("__to", "part"))
     discard(cand)
     parts = parts.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "part").distinct()
