@@ -9,7 +9,8 @@ a join on the chunk's number; rows that differ from it (which takes a collision)
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,31 +69,47 @@ def _parts(norm: Column, size: int) -> Column:
     return F.when(F.length(norm) <= size, F.array(norm)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(norm) - 1) / size).cast("int")), lambda i: F.substring(norm, i * size + 1, F.lit(size))))
 
 
-def _hashed(norm: Column, moduli: tuple[int, ...]) -> Column:
-    """f1, f2, n, and what a hash of a text before this one is multiplied by; null for null."""
+def _chunk_hashes(moduli: tuple[int, ...]) -> Callable[[Column], Column]:
+    """f1, f2, n of a chunk, and what the hash of the text before it is multiplied by."""
 
     @F.pandas_udf("f1 long, f2 long, n long, s1 long, s2 long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            each = [fingerprint(t.encode(), moduli) for t in texts]
+            yield pd.DataFrame([(*x, *(pow(base, x[-1], m) for base, m in zip(BASES, moduli, strict=True))) for x in each], columns=[*FP, "s1", "s2"], dtype="int64")
+
+    return of
+
+
+def _text_hashes(moduli: tuple[int, ...], size: int) -> Callable[[Column], Column]:
+    """f1, f2, n of a text without its white space (null if that has more than ``size`` characters), and its SHA-256."""
+    gone = SPACES.encode()
+
+    @F.pandas_udf("f1 long, f2 long, n long, text_sha256 string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
-                own = fingerprint(t.encode(), moduli) if t is not None else (None,) * 3
-                rows.append((*own, *(pow(base, own[2], m) if t is not None else None for base, m in zip(BASES, moduli, strict=True))))
-            yield pd.DataFrame(rows, columns=[*FP, "s1", "s2"], dtype="Int64")
+                data = (t or "").encode()
+                norm = data.translate(None, gone)
+                huge = len(norm) > size and len(t) - (len(data) - len(norm)) > size
+                rows.append((*((None,) * 3 if huge else fingerprint(norm, moduli)), hashlib.sha256(norm).hexdigest()))
+            yield pd.DataFrame(rows, columns=[*FP, "text_sha256"]).astype(dict.fromkeys(FP, "Int64"))
 
-    return of(norm)
+    return of
 
 
 def _fingerprints(docs: DataFrame, moduli: tuple[int, ...], size: int) -> DataFrame:
     """doc_id, key (of the original text), n_code (code points of it), f1, f2, n, text_sha256, m: rows alike in all are one, and m says how many."""
-    norm = _norm()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_code"), _hashed(F.when(F.length(norm) <= size, norm), moduli).alias("f"), F.sha2(norm, 256).alias("text_sha256"))
-    rows = written(rows.select("doc_id", "key", "n_code", *[f"f.{c}" for c in FP], "text_sha256"), "fingerprints")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_code"), _text_hashes(moduli, size)(F.col("text")).alias("f"))
+    rows = written(rows.select("doc_id", "key", "n_code", "f.*"), "fingerprints")
     whole = rows.filter("f1 IS NOT NULL")
     huge = rows.filter("f1 IS NULL")
     if not huge.isEmpty():
-        chunks = docs.filter(F.length(norm) > size).select(F.sha2(norm, 256).alias("sha"), F.posexplode(_parts(norm, size)).alias("at", "part"))
-        chunks = chunks.repartition("sha", "at").dropDuplicates(["sha", "at"]).select("sha", "at", _hashed(F.col("part"), moduli).alias("f"))
+        norm = F.col("norm")
+        chunks = docs.filter(F.length("text") > size).select(_norm().alias("norm")).filter(F.length(norm) > size)
+        chunks = chunks.select(F.sha2(norm, 256).alias("sha"), F.posexplode(_parts(norm, size)).alias("at", "part"))
+        chunks = chunks.repartition("sha", "at").dropDuplicates(["sha", "at"]).select("sha", "at", _chunk_hashes(moduli)(F.col("part")).alias("f"))
         each = F.sort_array(F.collect_list(F.struct("at", *[F.col(f"f.{c}").alias(c) for c in (*FP, "s1", "s2")])))
         start = F.struct(*[F.lit(0).cast("long").alias(c) for c in FP])
         joined = F.aggregate(each, start, lambda a, x: F.struct(*[((a[f] * x[s] + x[f]) % m).alias(f) for f, s, m in (("f1", "s1", moduli[0]), ("f2", "s2", moduli[1]))], (a["n"] + x["n"]).alias("n")))
@@ -117,12 +134,11 @@ def _different(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     for c in FP:
         same_fp = same_fp & (F.col(c) == F.col(f"__{c}"))
     keys = written(rows.select("key", *FP).distinct().join(groups, same_fp).select(F.col("key").alias("__key"), *FP, "keep", "keep_n", "keep_sha"), "groups")
-    norm = _norm()
-    here = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_code"), F.xxhash64("text").alias("key"), norm.alias("norm"))
+    here = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_code"), F.xxhash64("text").alias("key"), "text")
     is_first = F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("n_code") == F.col("keep_n"))
     is_first = F.when(is_first, F.sha2("norm", 256) == F.col("keep_sha")).otherwise(False)
     # A join of two plain shuffles, whose hot texts Spark can split.
-    several = here.join(keys, F.col("key") == F.col("__key")).select("doc_id", "n_code", *FP, is_first.alias("is_first"), F.posexplode(_parts(F.col("norm"), size)).alias("at", "part"))
+    several = here.join(keys, F.col("key") == F.col("__key")).withColumn("norm", _norm()).select("doc_id", "n_code", *FP, is_first.alias("is_first"), F.posexplode(_parts(F.col("norm"), size)).alias("at", "part"))
     several = written(several, "equal-fingerprints")
     first = several.filter("is_first").groupBy(*FP, "at").agg(F.first("part").alias("__part")).select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("at").alias("__at"), "__part")
     first = written(first, "first-texts")
