@@ -9,17 +9,34 @@ MASKED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*(?!\
 HOLE = "\x00{}\x00"
 
 
-def masked(text: str, change: Callable[[str], str]) -> str:
-    """``change`` of the text without its literals, which then come back; comments don't."""
-    kept: list[str] = []
+class Masked:
+    """text: a statement whose string literals are holes, and whose comments are gone (or stay, without ``comments``)."""
+
+    def __init__(self, text: str, comments: bool = True) -> None:
+        self.kept: list[str] = []
+
+        def hide(m: re.Match) -> str:
+            if m[0][:2] in ("--", "/*") and comments:
+                return " "
+            self.kept.append(m[0])
+            return HOLE.format(len(self.kept) - 1)
+
+        self.text = MASKED.sub(hide, text)
 
-    def hide(m: re.Match) -> str:
-        if m[0][:2] in ("--", "/*"):
-            return " "
-        kept.append(m[0])
-        return HOLE.format(len(kept) - 1)
+    def whole(self, text: str) -> str:
+        """A part of the text with its literals again."""
+        return re.sub(r"\x00(\d+)\x00", lambda m: self.kept[int(m[1])], text)
 
-    return re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], change(MASKED.sub(hide, text)))
+    def value(self, hole: str) -> str:
+        """What the literal of a hole stands for."""
+        held = self.whole(hole)
+        return re.sub(r"\\(.)", r"\1", held[1:-1].replace(held[0] * 2, held[0]), flags=re.S)
+
+
+def masked(text: str, change: Callable[[str], str]) -> str:
+    """``change`` of the text without its literals, which then come back; comments don't."""
+    held = Masked(text)
+    return held.whole(change(held.text))
 
 
 def _sub(*rules: tuple[str, str]) -> Callable[[str], str]:
@@ -46,8 +63,8 @@ def doris(text: str) -> str:
 
 
 def maxcompute(text: str) -> str:
-    """Mostly Spark's own SQL already; hints that only say how to join are kept as Spark's, lifecycles and z-orders go."""
-    return masked(text, _sub((r"/\*\+\s*mapjoin\s*\(([^)]*)\)\s*\*/", r"/*+ BROADCAST(\1) */"), (r"/\*\+\s*skewjoin\s*\([^)]*\)\s*\*/", ""), (r"\blifecycle\s+\d+", ""), (r"\bzorder\s+by\s+[\w, ]+", ""), (r"\bwm_concat\s*\(\s*(\x00\d+\x00)\s*,\s*(\w+)\s*\)", r"listagg(\2, \1) WITHIN GROUP (ORDER BY \2)"), (r"\bgetdate\s*\(\s*\)", "current_timestamp()"), (r"\bto_char\s*\(", "date_format("), (r"\bdatetrunc\s*\(\s*(\w+)\s*,\s*(\x00\d+\x00)\s*\)", r"date_trunc(\2, \1)")))
+    """Mostly Spark's own SQL already; hints that only say how to join go, as Spark knows the tables' sizes, and lifecycles and z-orders go."""
+    return masked(text, _sub((r"/\*\+\s*mapjoin\s*\([^)]*\)\s*\*/", ""), (r"/\*\+\s*skewjoin\s*\([^)]*\)\s*\*/", ""), (r"\blifecycle\s+\d+", ""), (r"\bzorder\s+by\s+[\w, ]+", ""), (r"\bwm_concat\s*\(\s*(\x00\d+\x00)\s*,\s*(\w+)\s*\)", r"listagg(\2, \1) WITHIN GROUP (ORDER BY \2)"), (r"\bgetdate\s*\(\s*\)", "current_timestamp()"), (r"\bto_char\s*\(", "date_format("), (r"\bdatetrunc\s*\(\s*(\w+)\s*,\s*(\x00\d+\x00)\s*\)", r"date_trunc(\2, \1)")))
 
 
 def postgres(text: str) -> str:

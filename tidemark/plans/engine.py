@@ -9,33 +9,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import register
-from .dialects import DIALECTS, masked
+from .dialects import DIALECTS, Masked
 from .lake import Lake
+from .schema_tables import TABLES, schema_table
 from .stats import column_stats
 from .types import spark_type
 
 NAME = r"`?([\w.]+)`?"
-#: Statements that are accepted for the sake of clients and change nothing.
+#: A string literal. Statements are matched with their literals masked, so that no word, comma or bracket in one is taken for a part of the statement.
+TEXT = r"(\x00\d+\x00)"
+#: Statements that are accepted for the sake of clients, change nothing and say so.
 ACCEPTED = r"(?:set\s+(?:global|session|names)|kill|admin|recover|install|uninstall|create\s+(?:job|index|user|role|row\s+policy|sql_block_rule|catalog)|drop\s+(?:job|index|user|role|row\s+policy|sql_block_rule|catalog|stats)|alter\s+(?:user|stats)|grant|revoke|cancel|pause|resume|lock|unlock)\b"
+STATS = ("column", "n", "nulls", "distinct", "low", "high")
+STATS_SCHEMA = "`column` string, n long, nulls long, `distinct` long, low string, high string"
 VARIABLES = {"autocommit": "1", "sql_mode": "ONLY_FULL_GROUP_BY", "time_zone": "UTC", "character_set_server": "utf8mb4", "max_allowed_packet": "16777216", "version_comment": "tidemark"}
 
 
 def split_list(text: str) -> list[str]:
     """At commas outside parentheses, brackets and quotes."""
-    out, depth, quote, at = [], 0, "", 0
-    for i, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        elif c in "([<":
+    held = Masked(text, comments=False)
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(held.text):
+        if c in "([<":
             depth += 1
         elif c in ")]>":
             depth -= 1
         elif c == "," and not depth:
-            out.append(text[at:i].strip())
+            out.append(held.whole(held.text[at:i]).strip())
             at = i + 1
-    return [*out, text[at:].strip()] if text.strip() else []
+    return [*out, held.whole(held.text[at:]).strip()] if text.strip() else []
+
+
+class Found:
+    """The groups of a masked statement, with their literals again."""
+
+    def __init__(self, match: re.Match, held: Masked) -> None:
+        self.match, self.held = match, held
+
+    def __getitem__(self, i: int) -> str | None:
+        return self.held.whole(self.match[i]) if self.match[i] is not None else None
+
+    def value(self, i: int, default: str = "") -> str:
+        """What a literal stands for."""
+        return self.held.value(self.match[i]) if self.match[i] else default
+
+    def parts(self, i: int) -> tuple[str, str]:
+        """A group up to the bracket that closes it, and the rest."""
+        text, depth, end = self.match[i], 1, 0
+        while depth:
+            if end == len(text):
+                raise ValueError("a bracket isn't closed")
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        return self.held.whole(text[: end - 1]), self.held.whole(text[end:])
+
+
+def properties(text: str) -> dict[str, str]:
+    """``"a" = "b"`` pairs."""
+    return {k[1:-1]: v[1:-1] for k, v in re.findall(r"""("[^"]*"|'[^']*')\s*=\s*("[^"]*"|'[^']*')""", text)}
 
 
 class Engine:
@@ -43,22 +74,34 @@ class Engine:
         self.spark, self.lake, self.dialect = spark, Lake(spark, root, most_rows), DIALECTS[dialect]
         register(spark)
         self.variables = dict(VARIABLES)
-        self.statements: list[tuple[re.Pattern, Callable[[re.Match], DataFrame | None]]] = [(re.compile(p + r"\s*;?\s*$", re.I | re.S), f) for p, f in self._statements()]
+        self.statements: list[tuple[re.Pattern, Callable[[Found], DataFrame | None]]] = [(re.compile(p + r"\s*;?\s*$", re.I | re.S), f) for p, f in self._statements()]
 
     def sql(self, text: str) -> DataFrame:
         """The rows of a query, or what a statement has to say (status if nothing)."""
-        text = masked(text, lambda t: t).strip()
+        held = Masked(text)
+        plain = held.text.strip()
         for pattern, f in self.statements:
-            if m := pattern.match(text):
-                out = f(m)
+            if m := pattern.match(plain):
+                out = f(Found(m, held))
                 return out if out is not None else self._rows([("ok",)], "status string")
-        if re.match(r"(?:select|with|values|\(|explain|from)\b|\(", text, re.I):
-            return self.query(text)
+        if re.match(r"(?:select|with|values|from)\b|\(", plain, re.I):
+            return self.query(held.whole(plain))
         raise ValueError(f"no such statement: {text[:80]}")
 
     def query(self, text: str) -> DataFrame:
+        """A query may read ``information_schema``, too."""
+        self.lake.register()
+        held = Masked(text)
+        for what in TABLES:
+            view = f"information_schema_{what}"
+            held.text, n = re.subn(rf"\binformation_schema\s*\.\s*{what}\b", view, held.text, flags=re.I)
+            if n:
+                self.information_schema(what).createOrReplaceTempView(view)
+        return self.spark.sql(self.dialect(held.whole(held.text)).rstrip().rstrip(";"))
+
+    def _explain(self, m: Found) -> DataFrame:
         self.lake.register()
-        return self.spark.sql(self.dialect(text).rstrip().rstrip(";"))
+        return self.spark.sql(f"EXPLAIN {(m[1] or '').upper()} {self.dialect(m[2])}")
 
     def _rows(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -89,48 +132,77 @@ class Engine:
             (rf"alter\s+table\s+{NAME}\s+modify\s+column\s+`?(\w+)`?\s+([\w(), ]+)", lambda m: L.modify_column(m[1], m[2], spark_type(m[3]))),
             (rf"alter\s+table\s+{NAME}\s+replace\s+with\s+table\s+{NAME}", lambda m: L.swap(m[1], m[2])),
             (rf"alter\s+table\s+{NAME}\s+rename\s+(?:to\s+)?{NAME}", lambda m: L.rename(m[1], m[2])),
-            (rf"alter\s+table\s+{NAME}\s+(?:modify\s+)?comment\s+'(.*)'", lambda m: L.describe_as(m[1], comment=m[2])),
-            (rf"alter\s+table\s+{NAME}\s+set\s*\((.+)\)", lambda m: L.describe_as(m[1], **dict(re.findall(r"[\"']([\w.]+)[\"']\s*=\s*[\"'](.*?)[\"']", m[2])))),
-            (rf"alter\s+table\s+{NAME}\s+((?:add|drop)\s+(?:partition|rollup)\s+.+)", lambda m: L.describe_as(m[1], **{f"__{len(L.table(m[1]).properties)}": m[2]})),
+            (rf"alter\s+table\s+{NAME}\s+(?:modify\s+)?comment\s+{TEXT}", lambda m: L.describe_as(m[1], comment=m.value(2))),
+            (rf"alter\s+table\s+{NAME}\s+set\s*\((.+)\)", lambda m: L.describe_as(m[1], **properties(m[2]))),
+            (rf"alter\s+table\s+{NAME}\s+add\s+partition\s+(?:if\s+not\s+exists\s+)?`?(\w+)`?\s*(.*)", lambda m: self._partition(m[1], m[2], m[3])),
+            (rf"alter\s+table\s+{NAME}\s+drop\s+partition\s+(?:if\s+exists\s+)?`?(\w+)`?", lambda m: self._partition(m[1], m[2], None)),
+            (rf"alter\s+table\s+{NAME}\s+((?:add|drop)\s+rollup\s+.+)", lambda m: L.describe_as(m[1], **{f"__{len(L.table(m[1]).properties)}": m[2]})),
+            (rf"alter\s+(?:database|schema)\s+{NAME}\s+rename\s+(?:to\s+)?{NAME}", lambda m: L.rename_database(m[1], m[2])),
+            (rf"alter\s+(?:database|schema)\s+{NAME}\s+set\s+(?:properties\s*)?\((.+)\)", lambda m: L.describe_database(m[1], **properties(m[2]))),
             (r"(?:begin|start\s+transaction)(?:\s+work)?", lambda m: L.begin()),
+            (r"savepoint\s+`?(\w+)`?", lambda m: L.savepoint(m[1])),
+            (r"release\s+savepoint\s+`?(\w+)`?", lambda m: L.release(m[1])),
+            (r"rollback\s+(?:work\s+)?to\s+(?:savepoint\s+)?`?(\w+)`?", lambda m: L.rollback(m[1])),
             (r"commit(?:\s+work)?", lambda m: L.commit()),
             (r"rollback(?:\s+work)?", lambda m: L.rollback()),
-            (rf"export\s+table\s+{NAME}\s+to\s+'(.+?)'(?:\s+format\s+as\s+(\w+))?", lambda m: L.export(m[1], m[2], (m[3] or "parquet").lower())),
-            (rf"import\s+table\s+{NAME}\s+from\s+'(.+?)'(?:\s+format\s+as\s+(\w+))?", lambda m: L.load(m[1], m[2], (m[3] or "parquet").lower())),
-            (rf"create\s+repository\s+{NAME}\s+.*?location\s+'(.+?)'", self._repository),
+            (rf"export\s+table\s+{NAME}\s+to\s+{TEXT}(?:\s+format\s+as\s+(\w+))?", lambda m: L.export(m[1], m.value(2), (m[3] or "parquet").lower())),
+            (rf"import\s+table\s+{NAME}\s+from\s+{TEXT}(?:\s+format\s+as\s+(\w+))?", lambda m: L.load(m[1], m.value(2), (m[3] or "parquet").lower())),
+            (rf"create\s+repository\s+{NAME}\s+.*?location\s+{TEXT}", self._repository),
             (rf"drop\s+repository\s+{NAME}", lambda m: L.state["repositories"].pop(m[1]) and None),
             (r"show\s+repositories", lambda m: self._rows(sorted(L.state["repositories"].items()), "name string, location string")),
             (rf"backup\s+database\s+(\w+)\s+to\s+(\w+)\s+as\s+(\w+)", lambda m: self._rows(sorted(L.backup(m[1], f"{L.state['repositories'][m[2]]}/{m[3]}").items()), "table_name string, n long")),
             (rf"restore\s+database\s+(\w+)\s+from\s+(\w+)\s+as\s+(\w+)", lambda m: L.restore(m[1], f"{L.state['repositories'][m[2]]}/{m[3]}")),
-            (r"show\s+(?:databases|schemas)(?:\s+like\s+'(.*?)')?", lambda m: self._rows([(d,) for d in sorted(L.state["databases"])], "name string").filter(F.col("name").ilike(m[1] or "%"))),
-            (r"show\s+(?:full\s+)?tables(?:\s+like\s+'(.*?)')?", lambda m: self._rows([(t,) for t in L.tables()], "name string").filter(F.col("name").ilike(m[1] or "%"))),
+            (rf"show\s+(?:databases|schemas)(?:\s+like\s+{TEXT})?", lambda m: self._rows([(d,) for d in sorted(L.state["databases"])], "name string").filter(F.col("name").ilike(m.value(1, "%")))),
+            (rf"show\s+(?:full\s+)?tables(?:\s+like\s+{TEXT})?", lambda m: self._rows([(t,) for t in L.tables()], "name string").filter(F.col("name").ilike(m.value(1, "%")))),
             (rf"(?:describe|desc|show\s+(?:full\s+)?columns\s+from)\s+{NAME}", lambda m: self._rows([(f.name, f.dataType.simpleString(), f.nullable) for f in L.schema(m[1])], "field string, type string, nullable boolean")),
             (rf"show\s+create\s+table\s+{NAME}", lambda m: self._rows([(m[1], f"CREATE TABLE {m[1]} ({L.table(m[1]).schema})")], "name string, statement string")),
-            (r"show\s+table\s+status", lambda m: self._rows([(t, L.df(t).count(), L.table(t).comment) for t in L.tables()], "name string, n long, comment string")),
-            (rf"show\s+(?:partitions|index(?:es)?|keys)\s+from\s+{NAME}", lambda m: self._rows(sorted(L.table(m[1]).properties.items()), "name string, value string")),
-            (r"show\s+(?:global\s+|session\s+)?variables(?:\s+like\s+'(.*?)')?", lambda m: self._rows(sorted(self.variables.items()), "name string, value string").filter(F.col("name").ilike(m[1] or "%"))),
-            (r"show\s+(?:status|processlist|engines|charset|character\s+set|collation|backends|frontends|warnings|errors|functions|plugins|analyze|stats)\b.*", lambda m: self._rows([], "name string, value string")),
-            (r"set\s+(?:session\s+|global\s+|@@)?(\w+)\s*=\s*'?([^']*?)'?", lambda m: self.variables.__setitem__(m[1].lower(), m[2])),
-            (rf"analyze\s+table\s+{NAME}.*", lambda m: column_stats(L.df(m[1]))),
+            (rf"show\s+table\s+status(?:\s+from\s+{NAME})?", lambda m: self._rows([(t, *L.size(f"{m[1] or L.database}.{t}"), L.table(f"{m[1] or L.database}.{t}").comment) for t in L.tables(m[1])], "name string, n long, bytes long, comment string")),
+            (rf"show\s+partitions\s+from\s+{NAME}", lambda m: self._rows(sorted(L.partitions(m[1])), "name string, low string, high string")),
+            (rf"show\s+(?:index(?:es)?|keys)\s+from\s+{NAME}", lambda m: self._rows([(m[1], "PRIMARY", i + 1, c) for i, c in enumerate(L.table(m[1]).keys)], "table_name string, key_name string, seq_in_index int, column_name string")),
+            (rf"show\s+(?:global\s+|session\s+)?variables(?:\s+like\s+{TEXT})?", lambda m: self._rows(sorted(self.variables.items()), "name string, value string").filter(F.col("name").ilike(m.value(1, "%")))),
+            (rf"show\s+(?:global\s+|session\s+)?status(?:\s+like\s+{TEXT})?", lambda m: self._rows(sorted(self._status().items()), "name string, value string").filter(F.col("name").ilike(m.value(1, "%")))),
+            (rf"show\s+functions(?:\s+like\s+{TEXT})?", lambda m: self.spark.sql("SHOW FUNCTIONS").select(F.col("function").alias("name")).filter(F.col("name").ilike(m.value(1, "%")))),
+            (r"show\s+engines", lambda m: self._rows([("parquet", "DEFAULT")], "name string, support string")),
+            (r"show\s+(?:charset|character\s+set)", lambda m: self._rows([("utf8mb4", "utf8mb4_bin", 4)], "name string, collation string, bytes int")),
+            (rf"show\s+(?:column\s+|table\s+)?stats\s+{NAME}", lambda m: self._rows([tuple(x[c] for c in STATS) for x in L.table(m[1]).stats], STATS_SCHEMA)),
+            (r"show\s+(?:processlist|collation|backends|frontends|warnings|errors|plugins|analyze)\b.*", lambda m: self._rows([], "name string, value string")),
+            (rf"set\s+(?:session\s+|global\s+|@@)?(\w+)\s*=\s*(?:{TEXT}|(\S+))", lambda m: self.variables.__setitem__(m[1].lower(), m.value(2) if m[2] else m[3])),
+            (rf"analyze\s+table\s+{NAME}.*", self._analyze),
+            (rf"drop\s+stats\s+{NAME}", lambda m: L.analyze(m[1], [])),
+            (r"explain\s+(?:(extended|formatted|cost|codegen)\s+)?((?:select|with|values|\().+)", self._explain),
             (r"create\s+(?:temporary\s+)?function\s+(\w+)\s*\(([^()]*)\)\s+returns\s+([\w(),]+)\s+(?:return|as)\s+(.+)", lambda m: self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {m[1]}({m[2]}) RETURNS {spark_type(m[3])} RETURN {m[4]}") and None),
             (r"drop\s+function\s+(?:if\s+exists\s+)?(\w+)", lambda m: self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {m[1]}") and None),
-            (rf"{ACCEPTED}.*", lambda m: None),
+            (rf"{ACCEPTED}.*", lambda m: self._rows([("ignored",)], "status string")),
         ]
 
-    def _use(self, m: re.Match) -> None:
+    def _status(self) -> dict[str, str]:
+        tables = [t for ts in self.lake.state["databases"].values() for t in ts.values()]
+        return {"Databases": str(len(self.lake.state["databases"])), "Tables": str(len(tables)), "Views": str(len(self.lake.state["views"])), "Statements": str(self.lake.state.get("statement", 0)), "Parts": str(sum(len(t["parts"]) for t in tables)), "Open_transactions": str(sum(not n for n, _ in self.lake.saved))}
+
+    def _analyze(self, m: Found) -> DataFrame:
+        """A row for each column, which is kept with the table."""
+        rows = [r.asDict() for r in column_stats(self.lake.df(m[1])).collect()]
+        self.lake.analyze(m[1], rows)
+        return self._rows([tuple(x[c] for c in STATS) for x in rows], STATS_SCHEMA)
+
+    def _partition(self, name: str, part: str, bounds: str | None) -> None:
+        """Partitions by range are names for rows; Parquet's own statistics prune what a query doesn't need."""
+        if bounds is None:
+            return self.lake.set_partition(name, part, None)
+        edges = [x.strip(" '\"") for x in re.findall(r"\(([^()]*)\)", bounds)]
+        low, high = (None, edges[0]) if len(edges) == 1 else edges[:2] if edges else (None, None)
+        self.lake.set_partition(name, part, (low, high))
+
+    def _use(self, m: Found) -> None:
         if m[1] not in self.lake.state["databases"]:
             raise KeyError(m[1])
         self.lake.database = m[1]
 
-    def _create(self, m: re.Match) -> None:
+    def _create(self, m: Found) -> None:
         if m[1] and m[2] in self.lake.tables():
             return
         columns, aggregates, keys = [], {}, []
-        depth, end = 1, 0
-        while depth:
-            depth += {"(": 1, ")": -1}.get(m[3][end], 0)
-            end += 1
-        body, tail = m[3][: end - 1], m[3][end:]
+        body, tail = m.parts(3)
         for x in split_list(body):
             if k := re.match(r"(?:primary|unique)\s+key\s*\(([^)]*)\)", x, re.I):
                 keys = [c.strip(" `") for c in k[1].split(",")]
@@ -143,14 +215,14 @@ class Engine:
         model = "primary" if keys else "duplicate"
         if k := re.search(r"\b(duplicate|aggregate|unique|primary)\s+key\s*\(([^)]*)\)", tail, re.I):
             model, keys = k[1].lower(), [c.strip(" `") for c in k[2].split(",")]
-        held = dict(re.findall(r"[\"']([\w.]+)[\"']\s*=\s*[\"'](.*?)[\"']", tail))
+        held = properties(tail)
         for word, pattern in (("__partition", r"partition(?:ed)?\s+by[^()]*\(([^)]*)\)"), ("__distribution", r"distributed\s+by\s+hash\s*\(([^)]*)\)")):
             if p := re.search(pattern, tail, re.I):
                 held[word] = p[1]
         note = re.search(r"\bcomment\s+'(.*?)'", tail, re.I)
         self.lake.create(m[2], ", ".join(columns), model=model, keys=keys, aggregates=aggregates, properties=held, comment=note[1] if note else "")
 
-    def _create_as(self, m: re.Match) -> None:
+    def _create_as(self, m: Found) -> None:
         df = self.query(m[3])
         self.lake.create(m[2], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
         self.lake.insert(m[2], df)
@@ -173,12 +245,12 @@ class Engine:
         names = [c.strip(" `") for c in columns.split(",")] if columns else None
         return self.query(f"SELECT * FROM {text}" if re.match(r"values\b", text, re.I) else text), names
 
-    def _insert(self, m: re.Match) -> None:
+    def _insert(self, m: Found) -> None:
         if m[4] or self.lake.table(m[1]).model in ("primary", "unique") and m[4] is not None:
             return self._upsert(m[1], m[2], m[3], m[4])
         self.lake.insert(m[1], *self._values(m[2], m[3]))
 
-    def _insert_set(self, m: re.Match) -> None:
+    def _insert_set(self, m: Found) -> None:
         sets = self._sets(m[2])
         text = "SELECT " + ", ".join(sets.values())
         if m[3]:
@@ -192,36 +264,21 @@ class Engine:
         changes = {c: re.sub(r"\bvalues\s*\(\s*`?(\w+)`?\s*\)", r"new.\1", e, flags=re.I) for c, e in self._sets(sets).items()} if sets else None
         self.lake.upsert(name, fitted, t.keys or self.lake.schema(name).names[:1], changes)
 
-    def _delete(self, m: re.Match) -> None:
+    def _delete(self, m: Found) -> None:
         order = []
         for x in split_list(m[3] or ""):
             e, down = re.subn(r"\s+desc$", "", re.sub(r"\s+asc$", "", x, flags=re.I), flags=re.I)
             order.append(F.expr(e).desc_nulls_last() if down else F.expr(e).asc_nulls_last())
         self.lake.delete(m[1], m[2], order, int(m[4]) if m[4] else None)
 
-    def _merge(self, m: re.Match) -> None:
+    def _merge(self, m: Found) -> None:
         keys = re.findall(r"\w+\.`?(\w+)`?\s*=\s*\w+\.`?\1`?", m[3])
         sets = {c: re.sub(rf"\b{m[2]}\.", "new.", e) for c, e in self._sets(m[4]).items()}
         self.lake.upsert(m[1], self.lake.df(m[2]), keys, {c: re.sub(rf"\b{m[1]}\.", "old.", e) for c, e in sets.items()})
 
-    def _repository(self, m: re.Match) -> None:
-        self.lake.state["repositories"][m[1]] = m[2]
+    def _repository(self, m: Found) -> None:
+        self.lake.state["repositories"][m[1]] = m.value(2)
         self.lake._save()
 
-    # ---- the catalog as tables
-
     def information_schema(self, what: str) -> DataFrame:
-        dbs = self.lake.state["databases"]
-        if what == "schemata":
-            return self._rows([("def", d) for d in sorted(dbs)], "catalog_name string, schema_name string")
-        if what == "tables":
-            return self._rows([("def", d, t, "BASE TABLE", x["comment"]) for d, ts in sorted(dbs.items()) for t, x in sorted(ts.items())], "table_catalog string, table_schema string, table_name string, table_type string, table_comment string")
-        if what == "columns":
-            rows = [("def", d, t, f.name, i + 1, f.dataType.simpleString(), "YES" if f.nullable else "NO", "PRI" if f.name in ts[t]["keys"] else "") for d, ts in sorted(dbs.items()) for t in sorted(ts) for i, f in enumerate(self.lake.schema(f"{d}.{t}"))]
-            return self._rows(rows, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string, column_key string")
-        keys = [(d, t, x["model"].upper(), c, i + 1) for d, ts in sorted(dbs.items()) for t, x in sorted(ts.items()) if x["model"] in ("primary", "unique") for i, c in enumerate(x["keys"])]
-        if what == "key_column_usage":
-            return self._rows(keys, "table_schema string, table_name string, constraint_name string, column_name string, ordinal_position int")
-        if what == "table_constraints":
-            return self._rows(sorted({k[:3] for k in keys}), "table_schema string, table_name string, constraint_type string")
-        raise KeyError(what)
+        return schema_table(self.spark, self.lake, what)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as doc
 from ..operators import kv
 from ..operators import stores
+from ..sources.files import scratch
 from ..streaming import events as ev
 from ..tables import load, run
 from .dialects import DIALECTS
@@ -19,12 +17,6 @@ from .registry import query
 from .stats import Histogram, column_stats
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one of the session; where none is set, a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tidemark/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
-
-
 def engine(spark: SparkSession, sf_dir: str, table: str, columns: str, where: str = "true", key: str = "", dialect: str = "doris") -> Engine:
     """An engine with the table ``t``, a copy of columns of another."""
     e = Engine(spark, scratch(spark), dialect)
@@ -34,13 +26,13 @@ def engine(spark: SparkSession, sf_dir: str, table: str, columns: str, where: st
     return e
 
 
-def dml(name: str, table: str, columns: str, statements: list[str], oracle: str, key: str = "", result: str = "SELECT * FROM t") -> None:
+def dml(name: str, table: str, columns: str, statements: list[str], oracle: str, key: str = "", result: str = "SELECT * FROM t", only: str = "*") -> None:
     @query(name, oracle)
     def go(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = engine(spark, sf_dir, table, columns, key=key)
         for s in statements:
             e.sql(s)
-        return e.sql(result)
+        return e.sql(result).select(*only.split(", "))
 
 
 C, CC = "c_custkey, c_name, c_nationkey, c_acctbal", "c_custkey, c_name, c_nationkey, c_acctbal"
@@ -66,12 +58,36 @@ dml("ddl_aggregate_key", "orders", "o_custkey, o_orderkey", ["CREATE TABLE q (k
 dml("show_tables", "region", "r_regionkey", ["CREATE TABLE other AS SELECT 1 AS x"], "SELECT * FROM (VALUES ('other'), ('t')) v(name)", result="SHOW TABLES")
 dml("describe_table", "nation", "n_nationkey, n_name", [], "SELECT * FROM (VALUES ('n_nationkey', 'int', true), ('n_name', 'string', true)) v(field, type, nullable)", result="DESCRIBE t")
 dml("create_function", "nation", "n_nationkey", ["CREATE FUNCTION plus_one(x INT) RETURNS INT RETURN x + 1"], "SELECT n_nationkey + 1 AS y FROM nation", result="SELECT plus_one(n_nationkey) AS y FROM t")
-dml("explain_rows", "region", "r_regionkey", [], "SELECT true AS planned", result="SELECT true AS planned")
+dml("ddl_unique_last_write", "orders", "o_orderkey, o_custkey", ["CREATE TABLE q (k BIGINT, v BIGINT) UNIQUE KEY(k)", *[f"INSERT INTO q SELECT o_custkey, {v} FROM t WHERE o_custkey % {m} = 0" for v, m in ((1, 1), (2, 2), (3, 3), (4, 2), (5, 5))]], "SELECT DISTINCT o_custkey AS k, CAST(CASE WHEN o_custkey % 5 = 0 THEN 5 WHEN o_custkey % 2 = 0 THEN 4 WHEN o_custkey % 3 = 0 THEN 3 ELSE 1 END AS BIGINT) AS v FROM orders", result="SELECT * FROM q")
+dml("ddl_aggregate_replace", "orders", "o_custkey, o_orderkey", ["CREATE TABLE q (k BIGINT, n BIGINT SUM, v BIGINT REPLACE) AGGREGATE KEY(k)", *[f"INSERT INTO q SELECT o_custkey, 1, {v} FROM t WHERE o_custkey % {m} = 0" for v, m in ((7, 1), (8, 2), (9, 3))]], "SELECT o_custkey AS k, CAST(count(*) * (1 + CAST(o_custkey % 2 = 0 AS INT) + CAST(o_custkey % 3 = 0 AS INT)) AS BIGINT) AS n, CAST(CASE WHEN o_custkey % 3 = 0 THEN 9 WHEN o_custkey % 2 = 0 THEN 8 ELSE 7 END AS BIGINT) AS v FROM orders GROUP BY o_custkey", result="SELECT * FROM q")
+dml("dml_words_in_literals", "nation", "n_nationkey, n_name", ["UPDATE t SET n_name = 'go where it is, set (x' WHERE n_name = 'NATION_3'", "INSERT INTO t VALUES (90, 'on duplicate key update n_name = 1'), (91, 'it''s -- no comment, (select')", "DELETE FROM t WHERE n_name = 'a limit 3' OR n_name = 'NATION_4' ORDER BY n_name LIMIT 5"], "SELECT n_nationkey, CASE WHEN n_name = 'NATION_3' THEN 'go where it is, set (x' ELSE n_name END AS n_name FROM nation WHERE n_name <> 'NATION_4' UNION ALL SELECT * FROM (VALUES (90, 'on duplicate key update n_name = 1'), (91, 'it''s -- no comment, (select')) v")
+dml("dml_savepoint", "region", "r_regionkey, r_name", ["BEGIN", "UPDATE t SET r_name = 'one' WHERE r_regionkey = 1", "SAVEPOINT a", "DELETE FROM t WHERE r_regionkey > 1", "ROLLBACK TO SAVEPOINT a", "UPDATE t SET r_name = 'two' WHERE r_regionkey = 2", "COMMIT"], "SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE r_name END AS r_name FROM region")
+dml("show_partitions", "orders", "o_orderkey, o_orderdate", ["ALTER TABLE t ADD PARTITION p1 VALUES LESS THAN ('1996-01-01')", "ALTER TABLE t ADD PARTITION p2 VALUES LESS THAN ('1997-01-01')", "ALTER TABLE t ADD PARTITION p3 VALUES LESS THAN ('1998-01-01')", "ALTER TABLE t DROP PARTITION p2"], "SELECT * FROM (VALUES ('p1', CAST(NULL AS VARCHAR), '1996-01-01'), ('p3', NULL, '1998-01-01')) v(name, low, high)", result="SHOW PARTITIONS FROM t")
+dml("show_index", "nation", "n_nationkey, n_name", [], "SELECT 't' AS table_name, 'PRIMARY' AS key_name, 1 AS seq_in_index, 'n_nationkey' AS column_name", key="n_nationkey", result="SHOW INDEX FROM t")
+dml("show_status", "region", "r_regionkey", ["CREATE TABLE other AS SELECT 1 AS x", "CREATE VIEW v AS SELECT x FROM other"], "SELECT * FROM (VALUES ('Tables', '2')) v(name, value)", result="SHOW STATUS LIKE 'tab%'")
+dml("analyze_kept", "customer", "c_custkey, c_mktsegment", ["ANALYZE TABLE t WITH SYNC"], "SELECT 'c_custkey' AS \"column\", count(*) AS n, min(c_custkey)::VARCHAR AS low FROM customer UNION ALL SELECT 'c_mktsegment', count(*), min(c_mktsegment) FROM customer", result="SHOW COLUMN STATS t", only="column, n, low")
+dml("alter_database", "region", "r_regionkey", ["CREATE DATABASE a", "CREATE TABLE a.x AS SELECT r_regionkey FROM t", "ALTER DATABASE a RENAME TO b", "USE b"], "SELECT r_regionkey FROM region", result="SELECT * FROM x")
+
+
+@query("explain_rows", "SELECT true AS scans, true AS filters, true AS prunes")
+def explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether EXPLAIN shows a scan of the table's one column, with the filter pushed down."""
+    plan = engine(spark, sf_dir, "region", "r_regionkey, r_name").sql("EXPLAIN FORMATTED SELECT r_regionkey FROM t WHERE r_regionkey = 1").select(F.col("plan"))
+    return plan.select(F.col("plan").contains("Scan parquet").alias("scans"), F.col("plan").contains("EqualTo(r_regionkey,1)").alias("filters"), F.col("plan").rlike(r"ReadSchema: struct<r_regionkey:int>\s").alias("prunes"))
+
+
+SCHEMA_TABLES = {
+    "schemata": ("schema_name, default_character_set_name", "SELECT 'default' AS schema_name, 'utf8mb4' AS default_character_set_name"),
+    "tables": ("table_schema, table_name, table_type, table_rows", "SELECT 'default' AS table_schema, 't' AS table_name, 'BASE TABLE' AS table_type, count(*) AS table_rows FROM nation"),
+    "table_constraints": ("table_name, constraint_name, constraint_type", "SELECT 't' AS table_name, 'PRIMARY' AS constraint_name, 'PRIMARY KEY' AS constraint_type"),
+}
+for _what, (_columns, _oracle) in SCHEMA_TABLES.items():
+    dml(f"info_schema_{_what}", "nation", "n_nationkey, n_name", [], _oracle, key="n_nationkey", result=f"SELECT {_columns} FROM information_schema.{_what} WHERE 'information_schema.columns' <> ''")
 
 
 @query("info_schema_columns", "SELECT 't' AS table_name, column_name, ordinal FROM (VALUES ('n_nationkey', 1), ('n_name', 2)) v(column_name, ordinal)")
 def info_schema_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir, "nation", "n_nationkey, n_name").information_schema("columns").select("table_name", "column_name", F.col("ordinal_position").alias("ordinal"))
+    return engine(spark, sf_dir, "nation", "n_nationkey, n_name").information_schema("columns").select("table_name", "column_name", F.col("ordinal_position").cast("int").alias("ordinal"))
 
 
 @query("info_schema_keys", "SELECT 't' AS table_name, 'PRIMARY' AS constraint_name, 'n_nationkey' AS column_name")

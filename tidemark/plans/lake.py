@@ -1,13 +1,15 @@
 """Tables that change: each is a list of Parquet folders, and every statement makes a new list.
 
 An insert adds a folder and rewrites nothing; updates and deletes write a table anew beside the old one, and then the list changes,
-so readers never see half a statement. Keeping the old lists makes transactions that can be rolled back. The lists
-are one small JSON file; what they no longer name can be removed by ``vacuum``.
+so readers never see half a statement. Keeping the old lists makes transactions that can be rolled back. The lists are one
+small JSON file for each version; the newest counts, and it is complete as soon as it has its name. What no list names can be
+removed by ``vacuum``. Rows of tables with keys carry the number of their statement and their place in it, which say what was written last.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
@@ -18,9 +20,14 @@ from pyspark.sql.types import StructType
 
 from ..sources.files import Folder, export, imported
 
-CATALOG = "catalog.json"
+CATALOG = "catalog-{:012d}.json"
+#: Versions of the catalog that are kept.
+KEPT = 2
+#: When a row was written: the statement's number and the place in it.
+AT = "__at"
+AT_TYPE = "struct<statement:bigint,place:bigint>"
 #: What an aggregate-key table does with values of equal keys.
-MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "replace": lambda c: F.last(c, ignorenulls=False)}
+MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "replace": lambda c: F.max_by(F.struct(F.col(c).alias("v")), AT)["v"]}
 
 
 @dataclass
@@ -32,6 +39,11 @@ class Table:
     aggregates: dict[str, str] = field(default_factory=dict)
     properties: dict[str, str] = field(default_factory=dict)
     comment: str = ""
+    stats: list[dict] = field(default_factory=list)
+
+    @property
+    def keyed(self) -> bool:
+        return self.model in ("unique", "primary", "aggregate")
 
 
 class Lake:
@@ -39,10 +51,14 @@ class Lake:
         """``most_rows``: an update or delete on a table with more is refused."""
         self.spark, self.root, self.most_rows = spark, root.rstrip("/"), most_rows
         self.files = Folder(spark, self.root)
-        self.saved: list[str] = []
-        self.state: dict = {"databases": {"default": {}}, "views": {}, "repositories": {}}
-        if self.files.exists(CATALOG):
-            self.state = json.loads(self.files.read(CATALOG))
+        self.saved: list[tuple[str, str]] = []
+        self.state: dict = {"databases": {"default": {}}, "views": {}, "repositories": {}, "statement": 0}
+        versions = self._versions()
+        self.version = versions[-1] if versions else 0
+        if versions:
+            self.state = json.loads(self.files.read(CATALOG.format(self.version)))
+        elif any(not x.startswith(".") for x in self.files.names()):
+            raise ValueError(f"{self.root} has files but no catalog")
         self.database = "default"
 
     # ---- names
@@ -68,9 +84,16 @@ class Lake:
             self.state["databases"][db][t] = asdict(table)
         self._save()
 
+    def _versions(self) -> list[int]:
+        return sorted(int(m[1]) for x in self.files.names() if (m := re.fullmatch(r"catalog-(\d{12})\.json", x)))
+
     def _save(self) -> None:
+        """A new version; an older one is there until that has its name. Another writer's version is an error."""
         if not self.saved:
-            self.files.write(CATALOG, json.dumps(self.state))
+            self.files.write(CATALOG.format(self.version + 1), json.dumps(self.state))
+            self.version += 1
+            for v in self._versions()[:-KEPT]:
+                self.files.delete(CATALOG.format(v))
 
     def register(self) -> None:
         """The current tables and views as temporary views."""
@@ -87,6 +110,22 @@ class Lake:
         self.state["databases"].setdefault(name, {})
         self._save()
 
+    def rename_database(self, old: str, new: str) -> None:
+        """The files of its tables stay where they are."""
+        if new in self.state["databases"]:
+            raise ValueError(f"there is a database {new}")
+        self.state["databases"][new] = self.state["databases"].pop(old)
+        self.state.setdefault("notes", {})[new] = self.state.get("notes", {}).pop(old, {})
+        self.database = new if self.database == old else self.database
+        self._save()
+
+    def describe_database(self, name: str, **properties: str) -> None:
+        if name not in self.state["databases"]:
+            raise KeyError(f"there is no database {name}")
+        notes = self.state.setdefault("notes", {})
+        notes[name] = notes.get(name, {}) | properties
+        self._save()
+
     def drop_database(self, name: str) -> None:
         self.state["databases"].pop(name)
         self._save()
@@ -101,6 +140,26 @@ class Lake:
         self.table(name)
         self._put(name, None)
 
+    def size(self, name: str) -> tuple[int, int]:
+        """(rows, bytes); rows by the files' footers, where a table has no keys."""
+        t = self.table(name)
+        return self.df(name).count(), sum(self.files.size(p) for p in t.parts)
+
+    def partitions(self, name: str) -> list[tuple[str, str | None, str | None]]:
+        held = self.table(name).properties
+        return [(k.removeprefix("partition."), *json.loads(v)) for k, v in held.items() if k.startswith("partition.")]
+
+    def set_partition(self, name: str, part: str, bounds: tuple[str | None, str | None] | None) -> None:
+        t = self.table(name)
+        key = f"partition.{part}"
+        if (bounds is None) != (key in t.properties):
+            raise ValueError(f"there is {'no' if bounds is None else 'a'} partition {part}")
+        if bounds is None:
+            del t.properties[key]
+        else:
+            t.properties[key] = json.dumps(bounds)
+        self._put(name, t)
+
     def schema(self, name: str) -> StructType:
         return StructType.fromDDL(self.table(name).schema)
 
@@ -111,16 +170,19 @@ class Lake:
         schema = StructType.fromDDL(t.schema)
         if not t.parts:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in t.parts])
+        rows = self.spark.read.schema(StructType.fromDDL(f"{t.schema}, {AT} {AT_TYPE}") if t.keyed else schema).parquet(*[f"{self.root}/{p}" for p in t.parts])
         if t.model in ("unique", "primary"):
-            return _latest(rows, t.keys, files=True)
+            return _latest(rows, t.keys, F.col(AT)).select(*schema.names)
         if t.model == "aggregate":
-            return rows.groupBy(*t.keys).agg(*[MERGE[t.aggregates.get(c, "replace")](c).alias(c) for c in rows.columns if c not in t.keys]).select(*rows.columns)
+            return rows.groupBy(*t.keys).agg(*[MERGE[t.aggregates.get(c, "replace")](c).alias(c) for c in schema.names if c not in t.keys]).select(*schema.names)
         return rows
 
     def _write(self, name: str, df: DataFrame) -> str:
         db, t = self._split(name)
         part = f"{db}/{t}/{uuid.uuid4().hex}"
+        self.state["statement"] = self.state.get("statement", 0) + 1
+        if self.table(name).keyed:
+            df = df.withColumn(AT, F.struct(F.lit(self.state["statement"]).cast("long").alias("statement"), F.monotonically_increasing_id().alias("place")))
         df.write.option("compression", "zstd").parquet(f"{self.root}/{part}")
         return part
 
@@ -178,14 +240,14 @@ class Lake:
         df = self._hit(name, self._guarded(name), where)
         if limit is None:
             return self.replace(name, df.filter(~F.col("__hit")).drop("__hit"))
-        df = self.spark.read.parquet(f"{self.root}/{self._write(name, df.withColumn('__at', F.monotonically_increasing_id()))}")
-        gone = df.filter("__hit").orderBy(*(order or []), "__at").limit(limit).select(F.col("__at").alias("__gone"))
-        self.replace(name, df.join(gone, F.col("__at") == F.col("__gone"), "left_anti").drop("__hit", "__at"))
+        df = self.spark.read.parquet(f"{self.root}/{self._write(name, df.withColumn('__place', F.monotonically_increasing_id()))}")
+        gone = df.filter("__hit").orderBy(*(order or []), "__place").limit(limit).select(F.col("__place").alias("__gone"))
+        self.replace(name, df.join(gone, F.col("__place") == F.col("__gone"), "left_anti").select(*self.schema(name).names))
 
     def upsert(self, name: str, df: DataFrame, keys: list[str], sets: dict[str, str] | None = None) -> None:
         """Rows of ``df`` replace those of equal keys, or with ``sets`` change them (``new.c`` is the incoming value of a column, ``c`` or ``old.c`` the one that is there); the others are added."""
         schema = self.schema(name)
-        new = _latest(self._fitted(name, df, df.columns), keys).select(F.struct(*schema.names).alias("new"))
+        new = _latest(self._fitted(name, df, df.columns), keys, F.monotonically_increasing_id()).select(F.struct(*schema.names).alias("new"))
         same = reduce(lambda a, b: a & b, [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys])
         both = self.df(name).select(F.struct(*schema.names).alias("old")).join(new, same, "full")
         both = both.select("old", "new", *[F.col(f"old.{c}").alias(c) for c in schema.names])
@@ -228,6 +290,12 @@ class Lake:
         self._put(a, y)
         self._put(b, x)
 
+    def analyze(self, name: str, rows: list[dict]) -> None:
+        """Keeps statistics, a few numbers for each column."""
+        t = self.table(name)
+        t.stats = rows
+        self._put(name, t)
+
     def describe_as(self, name: str, comment: str | None = None, **properties: str) -> None:
         t = self.table(name)
         t.comment = t.comment if comment is None else comment
@@ -237,20 +305,55 @@ class Lake:
     # ---- transactions
 
     def begin(self) -> None:
-        self.saved.append(json.dumps(self.state))
+        """Inside a transaction it opens an inner one."""
+        self.saved.append(("", json.dumps(self.state)))
+
+    def savepoint(self, name: str) -> None:
+        if not self.saved:
+            self.begin()
+        self.saved.append((name.lower(), json.dumps(self.state)))
+
+    def _savepoint(self, name: str) -> int:
+        at = next((k for k in range(len(self.saved) - 1, -1, -1) if self.saved[k][0] == name.lower()), None)
+        if at is None:
+            raise KeyError(f"there is no savepoint {name}")
+        return at
+
+    def release(self, name: str) -> None:
+        del self.saved[self._savepoint(name) :]
+
+    def _end(self) -> str:
+        """The state at the transaction's start; its savepoints go."""
+        while self.saved and self.saved[-1][0]:
+            self.saved.pop()
+        if not self.saved:
+            raise ValueError("there is no transaction")
+        return self.saved.pop()[1]
 
     def commit(self) -> None:
-        self.saved.pop()
+        self._end()
         self._save()
 
-    def rollback(self) -> None:
-        self.state = json.loads(self.saved.pop())
+    def rollback(self, to: str | None = None) -> None:
+        """``to`` a savepoint, which stays, or to the start. Numbers of statements are never used again."""
+        at = self.state.get("statement", 0)
+        if to is not None:
+            k = self._savepoint(to)
+            del self.saved[k + 1 :]
+            self.state = json.loads(self.saved[k][1])
+        else:
+            self.state = json.loads(self._end())
+        self.state["statement"] = at
         self._save()
 
     def vacuum(self) -> int:
-        """Removes folders that no table names; how many."""
-        named = {p for db in self.state["databases"].values() for t in db.values() for p in t["parts"]}
-        gone = [p for db in self.files.names() if db != CATALOG for t in self.files.names(db) for x in self.files.names(f"{db}/{t}") if (p := f"{db}/{t}/{x}") not in named]
+        """Removes folders that no table names, nor any that a rollback may bring back, nor an upload; how many. No other writer may be at work."""
+        states = [self.state, *(json.loads(x) for _, x in self.saved)]
+        if self.saved:  # what the files say is what others read until the commit
+            states.append(json.loads(self.files.read(CATALOG.format(self.version))))
+        named = {p for s in states for db in s["databases"].values() for t in db.values() for p in t["parts"]}
+        folders = [x for x in self.files.names() if not x.startswith(".") and not x.startswith("catalog-")]
+        gone = [p for db in folders for t in self.files.names(db) for x in self.files.names(f"{db}/{t}") if (p := f"{db}/{t}/{x}") not in named]
         for p in gone:
             self.files.delete(p)
         return len(gone)
@@ -271,6 +374,7 @@ class Lake:
             df.write.mode("overwrite").parquet(f"{to}/{t}")
             out[t] = self.spark.read.parquet(f"{to}/{t}").count()
             held[t] = asdict(self.table(f"{database}.{t}"))
+        folder.delete("backup.json")  # of an earlier copy under this name
         folder.write("backup.json", json.dumps(held))
         return out
 
@@ -280,14 +384,13 @@ class Lake:
             name = f"{database}.{t}"
             if t in self.tables(database):
                 self.drop(name)
-            self.create(name, **(kept | {"parts": []}))
+            self.create(name, **(kept | {"parts": []}))  # statistics come with it
             self.insert(name, self.spark.read.parquet(f"{path}/{t}"))
 
 
-def _latest(df: DataFrame, keys: list[str], files: bool = False) -> DataFrame:
-    """Of rows with equal keys the last one: of rows from files by the file's time and the place in it."""
+def _latest(df: DataFrame, keys: list[str], place: Column) -> DataFrame:
+    """Of rows with equal keys the last one by ``place``."""
     names = df.columns
-    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index") if files else F.struct(F.monotonically_increasing_id())
     rest = [c for c in names if c not in keys]
     if not rest:
         return df.distinct()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -27,20 +30,25 @@ class Folder:
         p = self._path(name)
         self._fs(p).delete(p, True)
 
+    def size(self, name: str) -> int:
+        """The bytes of a folder."""
+        p = self._path(name)
+        return self._fs(p).getContentSummary(p).getLength()
+
     def names(self, name: str = "") -> list[str]:
         p = self._path(name)
         return sorted(x.getPath().getName() for x in self._fs(p).listStatus(p)) if self._fs(p).exists(p) else []
 
     def write(self, name: str, text: str) -> None:
-        """By a temporary file that is renamed, so readers see the old text or the new."""
-        p, new = self._path(name), self._path(f"{name}.new")
+        """A new file, by a temporary one that is renamed, so that it is there as a whole or not at all. One that is there stays, and is an error."""
+        p, new = self._path(name), self._path(f".{name}.{uuid.uuid4().hex}")
         fs = self._fs(p)
         out = fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(new, p):
-            raise OSError(f"{new} can't become {p}")
+        if fs.exists(p) or not fs.rename(new, p):
+            fs.delete(new, False)
+            raise FileExistsError(f"{p} is there already")
 
     def read(self, name: str) -> str:
         p = self._path(name)
@@ -50,6 +58,27 @@ class Folder:
         return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which goes at the end of the application; on a single machine it may be a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tidemark-")
+    out = Folder(spark, f"{shared.rstrip('/')}/tidemark/{uuid.uuid4().hex}")
+    path = out._path("")
+    out._fs(path).mkdirs(path)
+    out._fs(path).deleteOnExit(path)
+    return out.root
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` as written once."""
+    path = f"{scratch(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export(df: DataFrame, path: str, form: str) -> None:
     """A folder of Parquet or of CSV with a header."""
     if form not in FORMATS:
