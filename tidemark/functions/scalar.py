@@ -157,3 +157,47 @@ def register(spark: SparkSession) -> None:
     """The SQL functions, for the session. Catalyst puts their expressions in place of the calls, so none runs Python."""
     for name, (args, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {result} RETURN {body}")
+
+
+# ---- JSON
+
+
+def json_valid(s: Column | str) -> Column:
+    """Null for null."""
+    return F.when(col(s).isNotNull(), F.try_parse_json(col(s)).isNotNull())
+
+
+def json_keys(s: Column | str) -> Column:
+    """The names of an object, as a JSON array; null for what isn't one."""
+    return F.to_json(F.json_object_keys(col(s)))
+
+
+def json_object(**values: Column) -> Column:
+    return F.to_json(F.struct(*[c.alias(k) for k, c in values.items()]), {"ignoreNullFields": "false"})
+
+
+def json_unquote(s: Column | str) -> Column:
+    """What a JSON string stands for; anything else as it is."""
+    return F.when(col(s).rlike('^".*"$'), F.get_json_object(F.concat(F.lit("["), col(s), F.lit("]")), "$[0]")).otherwise(col(s))
+
+
+#: How deep arrays and objects may be nested for json_contains; deeper levels have to be equal.
+JSON_LEVELS = 4
+
+
+def json_contains(target: Column | str, candidate: Column | str) -> Column:
+    """Whether ``target`` has ``candidate``: an object's members, an array's elements one by one, or an array's element."""
+
+    def within(a: Column, b: Column, left: int) -> Column:
+        same = F.to_json(a) == F.to_json(b)
+        if not left:
+            return same
+        kind = [F.schema_of_variant(x) for x in (a, b)]
+        parts = [F.try_variant_get(x, "$", "array<variant>") for x in (a, b)]
+        maps = [F.try_variant_get(x, "$", "map<string,variant>") for x in (a, b)]
+        an_array, an_object = ([k.startswith(w) for k in kind] for w in ("ARRAY", "OBJECT"))
+        each = F.forall(parts[1], lambda y: F.exists(parts[0], lambda x: within(x, y, left - 1)))
+        members = F.forall(F.map_keys(maps[1]), lambda k: F.coalesce(within(F.element_at(maps[0], k), F.element_at(maps[1], k), left - 1), F.lit(False)))
+        return F.when(an_array[0] & an_array[1], each).when(an_array[0], F.exists(parts[0], lambda x: within(x, b, left - 1))).when(an_object[0] & an_object[1], members).otherwise(same)
+
+    return within(F.try_parse_json(col(target)), F.try_parse_json(col(candidate)), JSON_LEVELS - 2)

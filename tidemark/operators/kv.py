@@ -6,9 +6,11 @@ for each ``value`` with its ``score``. Writes give a new table; many keys are wr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 SCHEMA = "key string, kind string, field string, pos long, value string, score double, expires_at timestamp_ntz"
 #: What tells elements of a key apart.
 IDENTITY = {"string": [], "hash": ["field"], "list": ["pos"], "set": ["value"], "zset": ["value"]}
@@ -36,18 +38,71 @@ def put(store: DataFrame, new: DataFrame, kind: str) -> DataFrame:
 def push(store: DataFrame, new: DataFrame, left: bool = False) -> DataFrame:
     """RPUSH and LPUSH: elements of ``new``, ordered by pos, behind or before those that are there."""
     ends = store.filter("kind = 'list'").groupBy("key").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
-    at = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-    placed = new.withColumn("at", at).join(ends, "key", "left")
+    placed = ranked(new, ["pos"], "key", "at").withColumn("at", F.col("at") + 1).join(ends, "key", "left")
     pos = F.coalesce("low", F.lit(0)) - F.col("at") if left else F.coalesce("high", F.lit(-1)) + F.col("at")
     return store.unionByName(placed.withColumn("pos", pos).select(*store.columns))
 
 
 def lrange(store: DataFrame, start: int, stop: int) -> DataFrame:
     """(key, index, value) of lists, both ends included; negative ones count from the end."""
-    w = Window.partitionBy("key")
-    rows = store.filter("kind = 'list'").withColumns({"index": F.row_number().over(w.orderBy("pos")) - 1, "n": F.count(F.lit(1)).over(w)})
-    a, b = (F.lit(x) if x >= 0 else F.col("n") + x for x in (start, stop))
-    return rows.filter((F.col("index") >= a) & (F.col("index") <= b)).select("key", "index", "value")
+    a, b = (F.lit(x) if x >= 0 else F.col("index_n") + x for x in (start, stop))
+    rows = ranked(store.filter("kind = 'list'"), ["pos"], "key", "index")
+    return rows.filter(F.col("index").between(a, b)).select("key", F.col("index").cast("int").alias("index"), "value")
+
+
+def lindex(store: DataFrame, index: int) -> DataFrame:
+    """(key, value) of each list's element at a place, negative ones from the end; lists without it have no row."""
+    return lrange(store, index, index).select("key", "value")
+
+
+def pop(store: DataFrame, keys: DataFrame, n: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:
+    """LPOP and RPOP of the lists of ``keys`` (key): the store without the first or last ``n`` elements, and those as (key, index, value). Lists that are empty then are no keys."""
+    rows = ranked(store.filter("kind = 'list'").join(keys.select("key").distinct(), "key", "left_semi").select(*store.columns), ["pos"], "key", "index")
+    taken = rows.filter(F.col("index") < n if left else F.col("index") >= F.col("index_n") - n)
+    kept = store.join(taken.select("key", "kind", "pos"), ["key", "kind", "pos"], "left_anti").select(*store.columns)
+    return kept, taken.select("key", F.col("index").cast("int").alias("index"), "value")
+
+
+def get(store: DataFrame, keys: DataFrame, kind: str = "string") -> DataFrame:
+    """MGET, HMGET and ZSCORE: ``keys`` has key, for hashes field and for sorted sets value, too. All its rows come, with null for what isn't there."""
+    by = ["key", *IDENTITY[kind]]
+    found = "score" if kind == "zset" else "value"
+    return keys.select(*by).join(store.filter(F.col("kind") == kind).select(*by, found), by, "left")
+
+
+def members(store: DataFrame, kind: str) -> DataFrame:
+    """HGETALL, HKEYS, HVALS and SMEMBERS of all keys: (key, field, value), (key, value) or (key, value, score)."""
+    shown = {"string": ["value"], "hash": ["field", "value"], "list": ["pos", "value"], "set": ["value"], "zset": ["value", "score"]}[kind]
+    return store.filter(F.col("kind") == kind).select("key", *shown)
+
+
+def exists(store: DataFrame, keys: DataFrame, kind: str | None = None) -> DataFrame:
+    """EXISTS, HEXISTS and SISMEMBER: the rows of ``keys``, with ``there``."""
+    by = ["key", *(IDENTITY[kind] if kind else [])]
+    held = (store.filter(F.col("kind") == kind) if kind else store).select(*by).distinct().withColumn("there", F.lit(True))
+    return keys.select(*by).join(held, by, "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def remove(store: DataFrame, gone: DataFrame, kind: str) -> DataFrame:
+    """HDEL, SREM and ZREM: the elements of ``gone`` (key, and field or value) go; other kinds with such a key stay."""
+    by = ["key", *IDENTITY[kind]]
+    return store.join(gone.select(*by).withColumn("kind", F.lit(kind)), [*by, "kind"], "left_anti").select(*store.columns)
+
+
+def decr(store: DataFrame, by: DataFrame) -> DataFrame:
+    """DECRBY for many keys."""
+    return incr(store, by.withColumn("n", -F.col("n")))
+
+
+def expire(store: DataFrame, ends: DataFrame) -> DataFrame:
+    """EXPIRE and PERSIST: ``ends`` has key and expires_at, null for no end. A key that isn't there gets none."""
+    new = ends.select("key", F.col("expires_at").cast("timestamp_ntz").alias("__end"), F.lit(True).alias("__set"))
+    return store.join(new, "key", "left").withColumn("expires_at", F.when(F.col("__set"), F.col("__end")).otherwise(F.col("expires_at"))).select(*store.columns)
+
+
+def live(store: DataFrame, now: Column) -> DataFrame:
+    """The keys that haven't ended."""
+    return store.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
 def incr(store: DataFrame, by: DataFrame) -> DataFrame:

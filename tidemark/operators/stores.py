@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 # ---- time series
 
 
@@ -97,10 +99,8 @@ def keys_like(df: DataFrame, glob: str, key: str = "key") -> DataFrame:
 
 def zrange(df: DataFrame, start: int, stop: int, key: str = "key", member: str = "member", score: str = "score") -> DataFrame:
     """Members by rank from ``start`` to ``stop``, both included; negative ranks count from the end."""
-    up = F.row_number().over(Window.partitionBy(key).orderBy(score, member)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    at = [F.lit(x) if x >= 0 else F.col("__n") + x for x in (start, stop)]
-    return df.withColumns({"rank": up, "__n": n}).filter((F.col("rank") >= at[0]) & (F.col("rank") <= at[1])).drop("__n")
+    at = [F.lit(x) if x >= 0 else F.col("rank_n") + x for x in (start, stop)]
+    return ranked(df, [score, member], key).filter(F.col("rank").between(*at)).drop("rank_n").withColumn("rank", F.col("rank").cast("int"))
 
 
 # ---- search
@@ -131,9 +131,10 @@ def bulk(df: DataFrame, actions: DataFrame, key: str = "_id") -> DataFrame:
 
 def ndjson_actions(spark: SparkSession, lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Action lines and, after all but deletes, document lines; ``lines`` has seq, which orders them."""
-    w = Window.orderBy("seq")
+    lines = ranked(lines.select("seq", column), ["seq"])
+    after = lines.select((F.col("rank") - 1).alias("__rank"), F.col(column).alias("doc"))
     kind = F.json_object_keys(column)[0]
     marked = lines.withColumn("action", F.when(F.get_json_object(column, "$.index._id").isNotNull() | F.get_json_object(column, "$.create._id").isNotNull() | F.get_json_object(column, "$.update._id").isNotNull() | F.get_json_object(column, "$.delete._id").isNotNull(), kind))
-    named = marked.withColumn("doc", F.when(F.col("action") != "delete", F.lead(column).over(w))).filter("action is not null")
+    named = marked.filter("action is not null").join(after, F.col("rank") == F.col("__rank"), "left").withColumn("doc", F.when(F.col("action") != "delete", F.col("doc")))
     ident = F.coalesce(*[F.get_json_object(column, f"$.{a}._id") for a in ("index", "create", "update", "delete")])
     return named.select("seq", "action", ident.alias("_id"), F.from_json(F.coalesce(F.get_json_object("doc", "$.doc"), F.col("doc")), schema).alias("d")).select("seq", "action", "_id", "d.*")

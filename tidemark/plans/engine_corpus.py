@@ -147,12 +147,14 @@ def stats_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_stats(load(spark, sf_dir, "customer"), STATS, exact=True)
 
 
-@query("stats_histogram", "SELECT true AS near")
+@query("stats_histogram", "SELECT o_orderstatus, round(avg(CASE WHEN o_totalprice BETWEEN 100000 AND 300000 THEN 1 ELSE 0 END), 9) AS share FROM orders GROUP BY o_orderstatus")
 def stats_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a histogram's guess of a range's share is near the real one."""
+    """The share of rows in a range, of each status whose histogram's guess is near it."""
     o = load(spark, sf_dir, "orders")
-    guess = Histogram.of(o, "o_totalprice").share(100_000, 300_000)
-    return o.agg((F.abs(F.avg(F.col("o_totalprice").between(100_000, 300_000).cast("double")) - guess) < 0.05).alias("near"))
+    guesses = [(s, Histogram.of(o.filter(F.col("o_orderstatus") == s), "o_totalprice").share(100_000, 300_000)) for s in ("F", "O", "P")]
+    real = o.groupBy("o_orderstatus").agg(F.round(F.avg(F.col("o_totalprice").between(100_000, 300_000).cast("double")), 9).alias("share"))
+    guessed = spark.createDataFrame(guesses, "o_orderstatus string, guess double")
+    return real.join(guessed, "o_orderstatus").filter(F.abs(F.col("share") - F.col("guess")) < 0.05).select("o_orderstatus", "share")
 
 
 # ---- documents, series, vectors, keys, search
@@ -258,9 +260,46 @@ def kv_incr_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kv.rename(kv.incr(kv.incr(kv.empty(spark), by), by), "click", "clicks").select("key", "value")
 
 
-@query("kv_mget", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (1, 5, 7, 99999999)")
+@query("kv_mget", "SELECT 'name:' || k AS key, c_name AS value FROM (VALUES (1), (5), (7), (99999999)) v(k) LEFT JOIN customer ON c_custkey = k")
 def kv_mget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer").filter(F.col("c_custkey").isin(1, 5, 7, 99999999)).select("c_custkey", "c_name")
+    return kv.get(_store(spark, sf_dir), spark.createDataFrame([(f"name:{k}",) for k in (1, 5, 7, 99999999)], "key string"))
+
+
+@query("kv_pops", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+ SELECT 'orders:' || o_custkey AS key, CAST(n - 1 AS BIGINT) AS left_n, max(CASE WHEN rn = 1 THEN CAST(o_orderkey AS VARCHAR) END) AS popped, max(CASE WHEN rn = n THEN CAST(o_orderkey AS VARCHAR) END) AS last FROM o GROUP BY o_custkey, n HAVING n > 1""")
+def kv_pops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first element of every list, and what is left."""
+    store = _store(spark, sf_dir)
+    kept, popped = kv.pop(store, store.select("key"))
+    left = kv.sizes(kept).filter("kind = 'list'").select("key", F.col("n").alias("left_n"))
+    return left.join(popped.select("key", F.col("value").alias("popped")), "key").join(kv.lindex(kept, -1).withColumnRenamed("value", "last"), "key")
+
+
+@query("kv_removals", """SELECT 'cust:' || c_custkey AS key, CAST(1 + (c_custkey % 3 <> 0)::INT AS BIGINT) AS n FROM customer UNION ALL
+ SELECT 'status:' || o_custkey, count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey""")
+def kv_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HDEL of a field of every third customer, SREM of one member of all sets."""
+    store, c, o = _store(spark, sf_dir), load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
+    store = kv.remove(store, c.filter("c_custkey % 3 = 0").select(F.concat(F.lit("cust:"), "c_custkey").alias("key"), F.lit("bal").alias("field")), "hash")
+    store = kv.remove(store, o.select(F.concat(F.lit("status:"), "o_custkey").alias("key"), F.lit("F").alias("value")).distinct(), "set")
+    return kv.sizes(store).filter("kind IN ('hash', 'set')").select("key", "n")
+
+
+@query("kv_decr_expire", "SELECT event_type AS key, CAST(-count(*) AS VARCHAR) AS value, CASE WHEN event_type = 'view' THEN 3600 ELSE -1 END AS seconds FROM events WHERE event_type <> 'click' GROUP BY event_type")
+def kv_decr_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.lit(1).alias("n"))
+    ends = spark.sql("SELECT * FROM VALUES ('view', TIMESTAMP_NTZ '2024-01-01 01:00:00'), ('click', TIMESTAMP_NTZ '2023-12-31 00:00:00'), ('none', TIMESTAMP_NTZ '2025-01-01 00:00:00') AS v(key, expires_at)")
+    now = F.lit("2024-01-01").cast("timestamp_ntz")
+    store = kv.expire(kv.decr(kv.empty(spark), e), ends)
+    return kv.live(store, now).select("key", "value").join(kv.ttl(store, now).select("key", F.col("seconds").cast("int").alias("seconds")), "key")
+
+
+@query("kv_reads", "SELECT 'cust:' || c_custkey AS key, f AS field, CASE f WHEN 'seg' THEN c_mktsegment END AS value, f = 'seg' AS there FROM customer, (VALUES ('seg'), ('nothing')) v(f)")
+def kv_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HMGET and HEXISTS of two fields of every customer, of which hashes have one."""
+    store, c = _store(spark, sf_dir), load(spark, sf_dir, "customer")
+    asked = c.select(F.concat(F.lit("cust:"), "c_custkey").alias("key"), F.explode(F.array(F.lit("seg"), F.lit("nothing"))).alias("field"))
+    return kv.get(store, asked, "hash").join(kv.exists(store, asked, "hash"), ["key", "field"])
 
 
 @query("search_match_all", "SELECT item_id FROM benchmark")
@@ -290,7 +329,7 @@ def dialect(name: str, kind: str, text: str, oracle: str) -> None:
 dialect("dialect_doris", "doris", "SELECT n_regionkey, GROUP_CONCAT(n_name ORDER BY n_name SEPARATOR '; ') AS names, CAST(max(n_nationkey) AS SIGNED) AS top FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 1, 3 -- comment 'x'", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) AS names, CAST(max(n_nationkey) AS BIGINT) AS top FROM nation GROUP BY n_regionkey ORDER BY n_regionkey LIMIT 3 OFFSET 1")
 dialect("dialect_mc", "maxcompute", "SELECT /*+ MAPJOIN(nation) */ n_name, wm_concat(',', s_name) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, string_agg(s_name, ',' ORDER BY s_name) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 dialect("dialect_lateral_view", "maxcompute", "SELECT vec_id, count(*) AS positive FROM embeddings LATERAL VIEW explode(embedding) e AS x WHERE x > 0 GROUP BY vec_id", "SELECT vec_id, count(*) AS positive FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) t WHERE x > 0 GROUP BY vec_id")
-dialect("dialect_postgres", "postgres", "SELECT c_mktsegment::text AS seg, string_agg(c_name, '|' ORDER BY c_name) AS names, count(*)::int8 AS n FROM customer WHERE c_custkey < 40 AND c_name <> 'a::text' GROUP BY c_mktsegment ORDER BY seg FETCH FIRST 3 ROWS ONLY", "SELECT c_mktsegment AS seg, string_agg(c_name, '|' ORDER BY c_name) AS names, count(*) AS n FROM customer WHERE c_custkey < 40 GROUP BY c_mktsegment ORDER BY seg LIMIT 3")
+dialect("dialect_postgres", "postgres", "SELECT c_mktsegment::text AS seg, string_agg(c_name, '|' ORDER BY c_name) AS names, count(*)::int8 AS n FROM customer WHERE c_name <> 'a::text' GROUP BY c_mktsegment ORDER BY seg FETCH FIRST 3 ROWS ONLY", "SELECT c_mktsegment AS seg, string_agg(c_name, '|' ORDER BY c_name) AS names, count(*) AS n FROM customer GROUP BY c_mktsegment ORDER BY seg LIMIT 3")
 dialect("dialect_tsql_top", "tsql", "SELECT TOP 5 [s_suppkey], LEN(s_name) AS n, ISNULL(s_name, 'x') AS name FROM supplier ORDER BY s_acctbal DESC, s_suppkey", "SELECT s_suppkey, CAST(length(s_name) AS INTEGER) AS n, s_name AS name FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 5")
 
 

@@ -11,11 +11,11 @@ from ..functions import scalar as S
 from ..tables import load, run
 from .registry import query, sql
 
-ROWS = """(VALUES (1,'Hello World','hello','  spaced  ',100,3,-42,3.14159,'2024-01-15','2023-12-31','2024-01-15 10:30:00'),
- (2,'hello','WORLD','hello   ',0,-5,-100,-2.718,'2024-02-29','2024-01-01','2024-02-29 23:59:59'),
- (3,'ABCdef','123','   world',42,7,-1,0.001,'2023-06-15','2024-12-25','2023-06-15 08:00:00'),
- (4,'','World','middle',255,10,-5,1000.0,'2024-07-04','2024-06-01','2024-12-31 23:59:00'),
- (5,CAST(NULL AS {s}),'test',CAST(NULL AS {s}),CAST(NULL AS INT),1,-255,0.0,CAST(NULL AS {s}),CAST(NULL AS {s}),CAST(NULL AS {s}))) AS f(id,s1,s2,s_trim,num1,num2,num_neg,num_dec,d1,d2,dt1)"""
+ROWS = """(VALUES (1,'Silver Lake','river','  padded  ',260,4,-7,2.71828,'2021-03-07','2020-11-30','2021-03-07 06:45:10'),
+ (2,'mellow','FIELD','mellow   ',0,-3,-64,-1.414,'2020-02-29','2020-01-01','2020-02-29 23:59:59'),
+ (3,'XyzAbc','777','   field',36,8,-2,0.005,'2022-10-21','2023-05-05','2022-10-21 14:00:00'),
+ (4,'','Valley','centre',199,9,-6,500.0,'2023-12-24','2023-12-01','2023-12-31 23:59:00'),
+ (5,CAST(NULL AS {s}),'probe',CAST(NULL AS {s}),CAST(NULL AS INT),2,-300,0.0,CAST(NULL AS {s}),CAST(NULL AS {s}),CAST(NULL AS {s}))) AS f(id,s1,s2,s_trim,num1,num2,num_neg,num_dec,d1,d2,dt1)"""
 SPARK, DUCK = ROWS.format(s="STRING"), ROWS.format(s="VARCHAR")
 
 
@@ -68,7 +68,15 @@ own("unhex", "s1 AS back, CAST(NULL AS VARCHAR) AS odd, CAST(NULL AS VARCHAR) AS
 own("truncate", "CAST(trunc(CAST(num_dec AS DOUBLE) * 100) / 100 AS DOUBLE) AS a, CAST(trunc(CAST(num_dec AS DOUBLE) / 10) * 10 AS DOUBLE) AS b", lambda: dict(a=S.truncate("num_dec", 2), b=S.truncate("num_dec", -1)))
 own("if", "CASE WHEN num1 > 50 THEN 'big' WHEN num1 <= 50 THEN 'small' END AS a, CASE WHEN num1 > 50 THEN 'big' ELSE 'small' END AS b", lambda: dict(a=S.if_(F.col("num1") > 50, F.lit("big"), F.lit("small")), b=S.if_mysql(F.col("num1") > 50, F.lit("big"), F.lit("small"))))
 own("ifnull", "coalesce(s1, 'none') AS a, coalesce(num1, -1) AS b", lambda: dict(a=F.ifnull("s1", F.lit("none")), b=F.ifnull("num1", F.lit(-1))))
-own("volatile", "true AS uuid_ok, true AS day_ok, true AS time_ok, true AS version_ok, true AS database_ok", lambda: dict(uuid_ok=F.length(F.expr("uuid()")) == 36, day_ok=F.current_date().isNotNull(), time_ok=F.length(F.date_format(F.current_timestamp(), "HH:mm:ss")) == 8, version_ok=F.length(F.version()) > 0, database_ok=F.current_database() == "default"))
+
+
+@query("fn_volatile", "SELECT event_id, strftime(ts, '%Y') AS year FROM events")
+def fn_volatile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions whose value can't be known beforehand, by what must hold of them for every row."""
+    e = load(spark, sf_dir, "events").withColumns({"id": F.expr("uuid()"), "now": F.current_timestamp(), "db": F.current_database(), "v": F.version()})
+    ok = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$") & (F.to_date("now") == F.current_date()) & (F.col("now") > "2024-01-01") & (F.col("db") == "default") & F.col("v").rlike(r"^\d+\.\d+")
+    return e.filter(ok).select("event_id", F.date_format("ts", "yyyy").alias("year"))
+
 
 both("case_length", "upper(s1) AS u, lower(s1) AS l, CAST(char_length(s1) AS BIGINT) AS n, ucase(s2) AS uc, lcase(s2) AS lc", "upper(s1) AS u, lower(s1) AS l, CAST(length(s1) AS BIGINT) AS n, upper(s2) AS uc, lower(s2) AS lc")
 both("concat_null", "concat(s1, s2) AS c, s1 || s2 AS p", "s1 || s2 AS c, s1 || s2 AS p")
@@ -85,12 +93,19 @@ both("trig", "round(sin(num2), 8) AS s, round(cos(num2), 8) AS c, round(tan(num2
 both("greatest_least", "greatest(num_neg, num2, 0) AS g, least(num_neg, num2, 0) AS l")
 both("bits", "shiftleft(num2, 2) AS l, num2 & 6 AS a, num2 | 6 AS o, num2 ^ 6 AS x, ~num2 AS n", "CAST(num2 * 4 AS INTEGER) AS l, num2 & 6 AS a, num2 | 6 AS o, xor(num2, 6) AS x, ~num2 AS n")
 both("encoding", "md5(s2) AS m, sha2(s2, 256) AS s, ascii(s2) AS a, CAST(octet_length(s2) AS BIGINT) AS o, CAST(bit_length(s2) AS BIGINT) AS b, char(64 + id) AS c, sha1(s2) AS s1", "md5(s2) AS m, sha256(s2) AS s, ascii(s2) AS a, CAST(octet_length(encode(s2)) AS BIGINT) AS o, CAST(bit_length(s2) AS BIGINT) AS b, chr(64 + id) AS c, sha1(s2) AS s1")
-both("find_in_set", "CAST(find_in_set(s2, 'hello,WORLD,123') AS BIGINT) AS x", "CAST(coalesce(list_position(['hello', 'WORLD', '123'], s2), 0) AS BIGINT) AS x")
+both("find_in_set", "CAST(find_in_set(s2, 'river,FIELD,777') AS BIGINT) AS x", "CAST(coalesce(list_position(['river', 'FIELD', '777'], s2), 0) AS BIGINT) AS x")
 both("names_of_dates", "dayname(CAST(d1 AS DATE)) AS d, monthname(CAST(d1 AS DATE)) AS m", "left(dayname(CAST(d1 AS DATE)), 3) AS d, left(monthname(CAST(d1 AS DATE)), 3) AS m")
 both("extract", "CAST(extract(YEAR FROM CAST(d1 AS DATE)) AS BIGINT) AS y, CAST(date_part('month', CAST(d1 AS DATE)) AS BIGINT) AS m, CAST(extract(DOW FROM CAST(d1 AS DATE)) AS BIGINT) AS w", "CAST(extract(YEAR FROM CAST(d1 AS DATE)) AS BIGINT) AS y, CAST(date_part('month', CAST(d1 AS DATE)) AS BIGINT) AS m, CAST(extract(DOW FROM CAST(d1 AS DATE)) + 1 AS BIGINT) AS w")
 both("interval", "CAST(CAST(d1 AS DATE) + INTERVAL 1 MONTH AS DATE) AS m, CAST(CAST(d1 AS DATE) - INTERVAL 10 DAY AS DATE) AS d, CAST(dt1 AS TIMESTAMP_NTZ) + INTERVAL 90 MINUTE AS t", "CAST(CAST(d1 AS DATE) + INTERVAL 1 MONTH AS DATE) AS m, CAST(CAST(d1 AS DATE) - INTERVAL 10 DAY AS DATE) AS d, CAST(dt1 AS TIMESTAMP) + INTERVAL 90 MINUTE AS t")
 both("conditional", "nullif(s1, '') AS n, coalesce(s1, s_trim, 'z') AS c, if(num2 > 0, 1, 0) AS i, nvl(num1, 7) AS v", "nullif(s1, '') AS n, coalesce(s1, s_trim, 'z') AS c, CASE WHEN num2 > 0 THEN 1 ELSE 0 END AS i, coalesce(num1, 7) AS v")
-sql("fn_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, json_array_length(concat('[', props, ']')) AS n, array_join(json_object_keys(props), ',') AS names, get_json_object(to_json(named_struct('a', user_id)), '$.a') AS back FROM events WHERE user_id < 20", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(json_array_length('[' || props || ']') AS INTEGER) AS n, array_to_string(json_keys(props), ',') AS names, json_extract_string(to_json({'a': user_id}), '$.a') AS back FROM events WHERE user_id < 20")
+sql("fn_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, json_array_length(concat('[', props, ']')) AS n, array_join(json_object_keys(props), ',') AS names, get_json_object(to_json(named_struct('a', user_id)), '$.a') AS back FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(json_array_length('[' || props || ']') AS INTEGER) AS n, array_to_string(json_keys(props), ',') AS names, json_extract_string(to_json({'a': user_id}), '$.a') AS back FROM events")
+query("fn_json_group", """SELECT event_id, json_valid(props) AS ok, json_valid(event_type) AS word_ok, CASE WHEN user_id % 2 = 0 THEN '["k"]' ELSE '["k","t"]' END AS names, CAST(json_extract_string(props, '$.k') AS INT) < 50 AS low,
+ '{"u":' || user_id || ',"t":"' || event_type || '"}' AS made, event_type AS plain, user_id % 3 = 0 AS listed FROM events""")(
+    lambda spark, sf_dir: load(spark, sf_dir, "events").select("event_id", S.json_valid("props").alias("ok"), S.json_valid("event_type").alias("word_ok"),
+        S.json_keys(F.when(F.col("user_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.expr("substr(props, 1, length(props) - 1)"), F.lit(', "t": 1}')))).alias("names"),
+        S.json_contains(F.concat(F.lit("["), F.array_join(F.sequence(F.lit(0), F.lit(49)), ", "), F.lit("]")), F.get_json_object("props", "$.k")).alias("low"),
+        S.json_object(u=F.col("user_id"), t=F.col("event_type")).alias("made"), S.json_unquote(F.concat(F.lit('"'), "event_type", F.lit('"'))).alias("plain"),
+        S.json_contains(F.lit('{"a": [0, {"b": 0}], "c": 1}'), F.concat(F.lit('{"a": [{"b": 0}], "c": '), F.when(F.col("user_id") % 3 == 0, "1").otherwise("2"), F.lit("}"))).alias("listed")))
 sql("fn_array", "SELECT vec_id, size(embedding) AS n, CAST(embedding[0] AS DOUBLE) AS first_x, CAST(array_max(slice(embedding, 1, 8)) AS DOUBLE) AS top FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS first_x, CAST(list_max(embedding[1:8]) AS DOUBLE) AS top FROM embeddings")
 sql("fn_map_struct", "SELECT n_nationkey, element_at(map('k', n_name, 'r', CAST(n_regionkey AS STRING)), 'r') AS r, named_struct('a', n_name).a AS a FROM nation", "SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS r, n_name AS a FROM nation")
 sql("fn_regexp", "SELECT p_partkey, regexp_extract(p_name, '^([a-z]+)', 1) AS w, regexp_replace(p_brand, '[0-9]+', 'N') AS b, p_name RLIKE 'ring$' AS ring FROM part", "SELECT p_partkey, regexp_extract(p_name, '^([a-z]+)', 1) AS w, regexp_replace(p_brand, '[0-9]+', 'N', 'g') AS b, regexp_matches(p_name, 'ring$') AS ring FROM part")

@@ -23,8 +23,9 @@ WITH cost AS (
   SELECT c.l_partkey, c.l_suppkey, c.unit_cost, s.s_name, s.s_acctbal, n.n_name FROM cost c JOIN supplier s ON s.s_suppkey = c.l_suppkey
   JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey WHERE r.r_name = 'EUROPE'
 )
-SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part JOIN local ON l_partkey = p_partkey
-WHERE p_size <= 15 AND p_type = 'ECONOMY' AND unit_cost = (SELECT min(x.unit_cost) FROM local x WHERE x.l_partkey = p_partkey)
+SELECT s_acctbal, s_name, n_name, p_partkey, p_brand
+FROM (SELECT local.*, p_partkey, p_brand, min(unit_cost) OVER (PARTITION BY l_partkey) AS least FROM part JOIN local ON l_partkey = p_partkey WHERE p_size <= 15 AND p_type = 'ECONOMY') t
+WHERE unit_cost = least
 ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""")
 
 sql("tpch_q3", f"""
