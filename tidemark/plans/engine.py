@@ -12,6 +12,7 @@ from ..functions import register
 from .dialects import DIALECTS, Masked
 from .lake import Lake
 from .schema_tables import TABLES, schema_table
+from .scripts import Script
 from .stats import column_stats
 from .types import spark_type
 
@@ -125,7 +126,11 @@ class Engine:
             (rf"update\s+{NAME}\s+set\s+(.+?)(?:\s+where\s+(.+))?", lambda m: L.update(m[1], self._sets(m[2]), m[3])),
             (rf"delete\s+from\s+{NAME}(?:\s+where\s+(.+?))?(?:\s+order\s+by\s+(.+?))?(?:\s+limit\s+(\d+))?", self._delete),
             (rf"truncate\s+table\s+(?:if\s+exists\s+)?{NAME}", lambda m: L.truncate(m[1])),
-            (rf"merge\s+into\s+{NAME}\s+using\s+{NAME}\s+on\s+(.+?)\s+when\s+matched\s+then\s+update\s+set\s+(.+?)\s+when\s+not\s+matched\s+then\s+insert\s+.+", self._merge),
+            (rf"merge\s+into\s+{NAME}(?:\s+(?:as\s+)?(?!using\b)(\w+))?\s+using\s+{NAME}(?:\s+(?:as\s+)?(?!on\b)(\w+))?\s+on\s+(.+?)\s+when\s+matched\s+then\s+update\s+set\s+(.+?)(\s+when\s+not\s+matched\s+(?:by\s+target\s+)?then\s+insert\s+.+)?", self._merge),
+            (rf"select\s+(.+?)\s+into\s+{NAME}\s+(from\s.+)", lambda m: self._create_from(m[2], f"SELECT {m[1]} {m[3]}")),
+            (rf"create\s+(?:or\s+(?:replace|alter)\s+)?proc(?:edure)?\s+{NAME}\s*(?:\(([^()]*)\)|((?:\s*,?\s*@\w+\s+\w+)*))\s*(?:as\s+)?begin\s+(.+)\s+end", self._procedure),
+            (rf"drop\s+proc(?:edure)?\s+(?:if\s+exists\s+)?{NAME}", lambda m: L.state.get("procedures", {}).pop(m[1], None) and L._save()),
+            (rf"(?:exec(?:ute)?|call)\s+{NAME}\s*(.*)", self._call),
             (rf"alter\s+table\s+{NAME}\s+add\s+column\s+`?(\w+)`?\s+([\w(), ]+?)(?:\s+default\s+(.+?))?", lambda m: L.add_column(m[1], m[2], spark_type(m[3]), m[4] or "NULL")),
             (rf"alter\s+table\s+{NAME}\s+drop\s+column\s+`?(\w+)`?", lambda m: L.drop_column(m[1], m[2])),
             (rf"alter\s+table\s+{NAME}\s+rename\s+column\s+`?(\w+)`?\s+(?:to\s+)?`?(\w+)`?", lambda m: L.rename_column(m[1], m[2], m[3])),
@@ -223,9 +228,8 @@ class Engine:
         self.lake.create(m[2], ", ".join(columns), model=model, keys=keys, aggregates=aggregates, properties=held, comment=note[1] if note else "")
 
     def _create_as(self, m: Found) -> None:
-        df = self.query(m[3])
-        self.lake.create(m[2], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
-        self.lake.insert(m[2], df)
+        if not (m[1] and m[2] in self.lake.tables()):
+            self._create_from(m[2], m[3])
 
     def _view(self, name: str, text: str | None) -> None:
         if text is None:
@@ -272,9 +276,42 @@ class Engine:
         self.lake.delete(m[1], m[2], order, int(m[4]) if m[4] else None)
 
     def _merge(self, m: Found) -> None:
-        keys = re.findall(r"\w+\.`?(\w+)`?\s*=\s*\w+\.`?\1`?", m[3])
-        sets = {c: re.sub(rf"\b{m[2]}\.", "new.", e) for c, e in self._sets(m[4]).items()}
-        self.lake.upsert(m[1], self.lake.df(m[2]), keys, {c: re.sub(rf"\b{m[1]}\.", "old.", e) for c, e in sets.items()})
+        """Without the part for rows that don't match, these are left out."""
+        old, new = {m[1], m[2] or m[1]}, {m[3], m[4] or m[3]}
+        names = lambda of: "|".join(map(re.escape, of))
+        pairs = re.findall(r"(\w+)\.`?(\w+)`?\s*=\s*(\w+)\.`?(\w+)`?", m[5])
+        keys = {(a if x in old else b): (b if x in old else a) for x, a, _, b in pairs}
+        sets = {c: re.sub(rf"\b(?:{names(old)})\.", "old.", re.sub(rf"\b(?:{names(new)})\.", "new.", e)) for c, e in self._sets(m[6]).items()}
+        df = self.lake.df(m[3]).withColumnsRenamed({b: a for a, b in keys.items() if a != b})
+        if not m[7]:
+            df = df.join(self.lake.df(m[1]).select(*keys).distinct(), list(keys), "left_semi")
+        columns = [c for c in self.lake.schema(m[1]).names if c in df.columns]
+        self.lake.upsert(m[1], df.select(*columns), list(keys), sets)
+
+    def _create_from(self, name: str, text: str) -> None:
+        df = self.query(text)
+        self.lake.create(name, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+        self.lake.insert(name, df)
+
+    def script(self, text: str, variables: dict | None = None) -> DataFrame | None:
+        return Script(self, text, variables).run()
+
+    def _procedure(self, m: Found) -> None:
+        names = re.findall(r"(@?\w+)\s+\w+(?:\([\d, ]+\))?\s*(?:,|$)", re.sub(r"\b(?:in|out|inout)\s+", "", m[2] or m[3] or "", flags=re.I))
+        self.lake.state.setdefault("procedures", {})[m[1]] = {"names": ["@" + n.lstrip("@").lower() for n in names], "text": m[4]}
+        self.lake._save()
+
+    def _call(self, m: Found) -> DataFrame | None:
+        """With values in order, in brackets or not, or as ``@name = value``."""
+        held = self.lake.state.get("procedures", {}).get(m[1])
+        if held is None:
+            raise KeyError(f"there is no procedure {m[1]}")
+        given = dict.fromkeys(held["names"])
+        for k, x in enumerate(split_list(re.sub(r"^\((.*)\)$", r"\1", m[2].strip(), flags=re.S))):
+            named = re.match(r"(@\w+)\s*=\s*(.+)", x, re.S)
+            name, text = (named[1].lower(), named[2]) if named else (held["names"][k], x)
+            given[name] = self.query(f"SELECT {text} AS x").first()["x"]
+        return self.script(held["text"], given)
 
     def _repository(self, m: Found) -> None:
         self.lake.state["repositories"][m[1]] = m.value(2)

@@ -344,6 +344,36 @@ def sql_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     END""")
 
 
+dml("tsql_merge_into", "nation", "n_nationkey, n_name, n_regionkey", ["SELECT n_nationkey + 20 AS id, 'from ' || n_name AS n_name, n_regionkey INTO s FROM t WHERE n_nationkey < 10", "MERGE INTO t AS a USING s AS b ON a.n_nationkey = b.id WHEN MATCHED THEN UPDATE SET a.n_name = a.n_name || ' ' || b.n_name WHEN NOT MATCHED THEN INSERT (n_nationkey, n_name, n_regionkey) VALUES (b.id, b.n_name, b.n_regionkey)"], "SELECT n.n_nationkey, n.n_name || coalesce(' from ' || s.n_name, '') AS n_name, n.n_regionkey FROM nation n LEFT JOIN nation s ON s.n_nationkey + 20 = n.n_nationkey UNION ALL SELECT n_nationkey + 20, 'from ' || n_name, n_regionkey FROM nation WHERE n_nationkey BETWEEN 5 AND 9")
+dml(
+    "tsql_procedure", "customer", "c_custkey, c_nationkey, c_acctbal",
+    ["CREATE TABLE log (k INT, n BIGINT, note STRING)",
+     """CREATE PROCEDURE raise_all @top INT AS BEGIN
+      DECLARE @k INT = 0; DECLARE @n BIGINT;
+      WHILE @k < @top BEGIN
+        SET @n = (SELECT count(*) FROM t WHERE c_nationkey = @k);
+        IF @k = 2 BEGIN INSERT INTO log VALUES (@k, -1, 'two; END'); END ELSE BEGIN INSERT INTO log VALUES (@k, @n, CASE WHEN @n >= 0 THEN 'counted' END); END;
+        SET @k = @k + 1;
+      END;
+      BEGIN TRY INSERT INTO nowhere VALUES (1); END TRY BEGIN CATCH INSERT INTO log VALUES (98, length(ERROR_MESSAGE()) - length(ERROR_MESSAGE()), 'caught'); END CATCH;
+      BEGIN TRY THROW 50001, 'own', 1; END TRY BEGIN CATCH INSERT INTO log VALUES (99, 0, ERROR_MESSAGE()); END CATCH;
+     END""",
+     "EXEC raise_all @top = 4"],
+    "SELECT c.k, CASE WHEN k = 2 THEN -1 ELSE (SELECT count(*) FROM customer WHERE c_nationkey = k) END AS n, CASE WHEN k = 2 THEN 'two; END' ELSE 'counted' END AS note FROM (VALUES (0), (1), (2), (3)) c(k) UNION ALL SELECT * FROM (VALUES (98, 0, 'caught'), (99, 0, 'own')) v", result="SELECT * FROM log")
+
+
+@query("tsql_cursor", "SELECT r_name, CAST(count(*) AS BIGINT) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def tsql_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation", "n_nationkey, n_regionkey")
+    e.lake.create("r", "r_regionkey int, r_name string")
+    e.lake.insert("r", load(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    e.sql("CREATE TABLE out (r_name STRING, n BIGINT)")
+    e.script("""DECLARE @k INT; DECLARE @name VARCHAR(20); DECLARE c CURSOR FOR SELECT r_regionkey, r_name FROM r ORDER BY r_regionkey;
+     OPEN c; FETCH NEXT FROM c INTO @k, @name;
+     WHILE @@FETCH_STATUS = 0 BEGIN INSERT INTO out SELECT @name, count(*) FROM t WHERE n_regionkey = @k; FETCH NEXT FROM c INTO @k, @name; END; CLOSE c;""")
+    return e.sql("SELECT * FROM out")
+
+
 # ---- streams
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2, 3")

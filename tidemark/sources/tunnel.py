@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from ..plans.lake import Lake
-from .files import shared_table
 
 
 class Upload:
@@ -29,14 +29,5 @@ class Upload:
 
 
 def download(df: DataFrame, order: list[str], start: int, count: int) -> DataFrame:
-    """``count`` rows from the ``start``-th on, in ``order``.
-
-    Rows are dealt into ranges of the order, which are written once, in the session's shared folder, so that all steps see the same
-    ranges; they are numbered within these and the ranges' sizes added up, so that no task sees all rows.
-    """
-    dealt = shared_table(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    n = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = n.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    at = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    rows = dealt.withColumn("__i", at).join(before, F.col("__p") == F.col("__q")).withColumn("__i", F.col("__i") + F.col("__before"))
-    return rows.filter((F.col("__i") >= start) & (F.col("__i") < start + count)).select(*df.columns)
+    """``count`` rows from the ``start``-th on, in ``order``; no task sees all rows."""
+    return ranked(df, order, name="__i").filter((F.col("__i") >= start) & (F.col("__i") < start + count)).select(*df.columns)
