@@ -35,7 +35,7 @@ HASH_BITS = 64
 #: Not a byte of UTF-8.
 SEPARATOR = 0xFF
 #: Buckets of so many suffixes, on average, are induced one by one, smaller ones in batches of so many suffixes at least and in so many rounds.
-BUCKET, BATCH, ROUNDS = 64, 2048, 4
+BUCKET, BATCH, ROUNDS = 256, 2048, 3
 
 
 # ---- suffix arrays
