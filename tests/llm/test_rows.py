@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, suffix_dedup
@@ -103,6 +104,15 @@ def test_huge_texts(spark):
     assert got == {0: (0, 2, True), 2: (0, 2, False), 1: (5, 3, False), 4: (5, 3, False), 5: (5, 3, True), 3: (3, 1, True)}
 
 
+@pytest.mark.parametrize("words", [1, 4, exact_dedup.FILTER_WORDS])
+def test_the_filter_loses_no_key(spark, words):
+    docs = spark.range(2000).select("id", F.xxhash64("id").alias("key"))
+    keys = docs.filter("id % 40 = 0").select(F.col("key").alias("__key"))
+    got = [r.id for r in exact_dedup._may_hold(docs, keys, words).collect()]
+    assert len(set(got)) == len(got) and set(range(0, 2000, 40)) <= set(got)
+    assert len(got) < 60 or words < exact_dedup.FILTER_WORDS
+
+
 def test_the_sql_for_equal_texts(spark, tmp_path):
     """With every kind of white space that is deleted, and others that are not."""
     import duckdb

@@ -24,6 +24,8 @@ MODULI = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_013)
 #: Characters of a text that are hashed and compared at once; a longer one goes in parts of so many.
 COMPARED = 1 << 20
+#: Words of 64 bits of the filter by which texts that equal no other are left out of the comparison's shuffle: a power of two, and the most rows that it broadcasts.
+FILTER_WORDS = 1 << 18
 
 
 @functools.cache
@@ -123,10 +125,28 @@ def _first() -> Column:
     return F.min(F.struct(-F.col("n_code"), F.col("doc_id").isNull(), "doc_id", "text_sha256"))
 
 
+def _may_hold(docs: DataFrame, keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """``docs`` (with a column key) without most rows whose key isn't in ``keys`` (__key); none whose key is there is lost.
+
+    The keys set bits of a table of at most ``words`` rows, so what is broadcast is bounded. With far more keys than bits it lets all rows through.
+    """
+
+    def word(key: Column) -> Column:
+        return F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(words - 1).cast("long"))
+
+    def bit(key: Column) -> Column:
+        return F.expr("shiftleft(1L, cast(%s & 63 AS int))" % key)
+
+    bits = keys.groupBy(word(F.col("__key")).alias("__word")).agg(F.bit_or(bit("__key")).alias("__bits"))
+    held = docs.join(F.broadcast(bits), word(F.col("key")) == F.col("__word"))
+    return held.filter(F.col("__bits").bitwiseAND(bit("key")) != 0).select(*docs.columns)
+
+
 def _different(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """The rows (doc_id, n_code, fingerprint) whose text isn't that of the first row of their fingerprint, after all.
 
     Only texts with a fingerprint that others have too are read again; they are found by their key, which takes no second fingerprint.
+    Rows that have no such key are mostly filtered out where they are read, so that their texts aren't shuffled.
     """
     groups = rows.groupBy(*FP).agg(F.sum("m").alias("__m"), _first().alias("__first")).filter("__m > 1")
     groups = groups.select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("__first.doc_id").alias("keep"), (-F.col("__first.col1")).alias("keep_n"), F.col("__first.text_sha256").alias("keep_sha"))
@@ -138,7 +158,7 @@ def _different(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     is_first = F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("n_code") == F.col("keep_n"))
     is_first = F.when(is_first, F.sha2("norm", 256) == F.col("keep_sha")).otherwise(False)
     # A join of two plain shuffles, whose hot texts Spark can split.
-    several = here.join(keys, F.col("key") == F.col("__key")).withColumn("norm", _norm()).select("doc_id", "n_code", *FP, is_first.alias("is_first"), F.posexplode(_parts(F.col("norm"), size)).alias("at", "part"))
+    several = _may_hold(here, keys).join(keys, F.col("key") == F.col("__key")).withColumn("norm", _norm()).select("doc_id", "n_code", *FP, is_first.alias("is_first"), F.posexplode(_parts(F.col("norm"), size)).alias("at", "part"))
     several = written(several, "equal-fingerprints")
     first = several.filter("is_first").groupBy(*FP, "at").agg(F.first("part").alias("__part")).select(*[F.col(c).alias(f"__{c}") for c in FP], F.col("at").alias("__at"), "__part")
     first = written(first, "first-texts")
