@@ -339,6 +339,24 @@ def test_linked_sets_share_a_key():
                     assert np.intersect1d(ngram_join.keys_of(a, levels), ngram_join.keys_of(b, levels)).size
 
 
+def test_unrelated_texts_are_not_tied_by_chance(spark):
+    """So many keys in one bucket that some 34 agree in 32 bits."""
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(" ".join(f"w{rng.getrandbits(60)}" for _ in range(400)),) for _ in range(2500)], "text string").repartition(4)
+    assert ngram_join.ties(docs, ngram_join.Bounds(80, 100).levels(), 1, np.zeros(1 << ngram_join.SKETCH_BITS, bool)).count() < 5
+
+
+def test_chunks_meet_blocks_in_rounds(monkeypatch, odd):
+    """Of bounded size each, with the same links; so many rounds that some have no chunk."""
+    rounds, written = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, what: (rounds.append(what), written(df, what))[1])
+    monkeypatch.setattr(ngram_join, "COPIED_LEAST", 20_000)
+    monkeypatch.setattr(ngram_join, "COPIED_BYTES", 0)
+    got = ngram_join.join(odd, threshold=(50, 100), n=2, block_rows=3)
+    assert by_id(map(tuple, got.collect())) == by_id(plain_components(table(odd), 50, 100, 2))
+    assert rounds.count("links") > 2
+
+
 def test_a_long_text_in_parts(monkeypatch):
     text = " ".join(f"w{i % 91}" for i in range(3000))
     whole = ngram_join.shingle_sets([text, "a b", None, "C D e F g"])
